@@ -23,6 +23,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkseek.llm.webp import media_column, read_media
+
+    features = read_media(media_column(_table(spark, sf_dir, "documents")), with_pixels=False)
+    return features.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 @_query
 def op5_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkseek.llm.url_vocab import judge_urls
