@@ -95,3 +95,16 @@ ORACLE["op8_poisson_mix"] = """
     n_c AS (SELECT doc_id, count(*) FILTER (WHERE cdf < u) AS n_copies FROM c GROUP BY 1)
     SELECT d.doc_id, source, round(rate, 9) AS rate, n_copies, copy, ('0x' || substr(md5('17|order|' || k || '|' || copy), 1, 15))::BIGINT AS shuffle_key, md5(coalesce(text, '')) AS text_md5
     FROM d JOIN n_c USING (doc_id), range(1, 200) t(copy) WHERE copy <= n_copies"""
+
+
+def byte_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query
+def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkseek.llm.sst import read_tables, write_tables
+
+    return read_tables(write_tables(_table(spark, sf_dir, "documents"), byte_bpe_path()), with_ids=False).drop("ids")
