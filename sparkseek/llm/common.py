@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,8 +98,12 @@ _seeded = np.random.Generator(np.random.PCG64(20240607))
 _TABLE = _seeded.integers(0, 1 << 64, 256 * 64, dtype=np.uint64)
 _FAR = _seeded.integers(0, 1 << 64, 1024, dtype=np.uint64) | np.uint64(1)
 _FARTHER = _seeded.integers(0, 1 << 64, 4096, dtype=np.uint64) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Kinds of bytes: a word is a run of one kind other than 0.
+WORDS = np.ones(256, np.uint8)
+WORDS[[32, 9, 10, 11, 12, 13]] = 0
+#: Letters, digits and all non-ASCII bytes against punctuation.
+WORDS_AND_MARKS = WORDS.copy()
+WORDS_AND_MARKS[[b for b in range(128) if WORDS[b] and not chr(b).isalnum()]] = 2
 _FAR[0] = _FARTHER[0] = 1  # a word's hash doesn't depend on the words beside it
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -113,20 +117,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of several texts: 64-bit hash, byte start and length, and each text's range."""
+    """The words `[^\\x20\\x09-\\x0D]+` (or the runs of a kind) of several texts: 64-bit hash, byte start and length, and each text's range."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = True, kinds: np.ndarray = WORDS):
         buf, starts = separated(data, offs)
         self.buf = LOWER[buf] if lower else buf
-        space = _SPACE[buf]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
-        self.start, end = edge[0::2], edge[1::2]
+        kind = kinds[buf]
+        change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        begin = np.concatenate(([0], change))
+        real = kind[begin] != 0 if len(buf) else np.zeros(1, bool)
+        self.start, end = begin[real], np.append(change, len(buf))[real]
         self.size = end - self.start
         self.first = np.searchsorted(self.start, np.append(starts, len(buf)))
         if not len(self.start):
             self.hash = np.zeros(0, np.uint64)
             return
-        at = np.flatnonzero(~space)
+        at = np.flatnonzero(kind)
         pos = at - np.repeat(self.start, self.size)
         part = _TABLE[(self.buf[at].astype(np.int32) << 6) | (pos & 63).astype(np.int32)]
         if self.size.max() > 64:
@@ -160,3 +166,45 @@ def shingles(words: Words, k: int) -> Iterator[np.ndarray]:
             yield one
         else:
             yield np.zeros(0, np.uint64)
+
+
+# --- sums of matrices -----------------------------------------------------------------------------------------
+
+_CHUNK = pa.schema([("chunk", pa.int32()), ("data", pa.binary())])
+
+
+def accumulate(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], n_rows: int, n_cols: int, dtype: type = np.int64, column: str = "text") -> np.ndarray:
+    """The sum over all rows of what `add` adds to an n_rows x n_cols matrix, on the driver.
+
+    Its size is fixed by the two numbers, whatever the input: each task keeps one such matrix and sends it as compressed
+    chunks of rows; the chunks are summed as they stream by, and only the sums go to the driver.
+    """
+    import zlib
+
+    size = max(1, -(-n_rows // 64))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = np.zeros((n_rows, n_cols), dtype)
+        for batch in slices(batches, column):
+            add(matrix, batch)
+        for i in range(0, n_rows, size):
+            part = matrix[i: i + size]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"chunk": [i // size], "data": [zlib.compress(part.tobytes(), 1)]}, _CHUNK)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(data), dtype)
+                sums[chunk] = sums[chunk] + part if chunk in sums else part
+        for chunk, part in sums.items():
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "data": [part.tobytes()]}, _CHUNK)
+
+    fields = "chunk int, data binary"
+    n = min(64, max(1, rows.sparkSession.sparkContext.defaultParallelism * 2))
+    out = np.zeros((n_rows, n_cols), dtype)
+    for r in rows.mapInArrow(work, fields).repartition(n, "chunk").mapInArrow(total, fields).collect():
+        part = np.frombuffer(bytes(r["data"]), dtype).reshape(-1, n_cols)
+        out[r["chunk"] * size: r["chunk"] * size + len(part)] += part
+    return out

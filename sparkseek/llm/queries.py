@@ -108,3 +108,10 @@ def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkseek.llm.sst import read_tables, write_tables
 
     return read_tables(write_tables(_table(spark, sf_dir, "documents"), byte_bpe_path()), with_ids=False).drop("ids")
+
+
+@_query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkseek.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
