@@ -115,3 +115,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkseek.llm.quality import classify
 
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkseek.llm.ctw import score
+
+    return score(_table(spark, sf_dir, "documents"))
