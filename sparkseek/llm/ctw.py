@@ -46,6 +46,7 @@ _LOW = np.uint64(255)
 def _pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
+    arrays = tuple(np.ascontiguousarray(a) for a in arrays)
     head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
     kinds = "".join(a.dtype.char for a in arrays).encode()
     return zstandard.ZstdCompressor(level=1).compress(head + kinds + b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays))

@@ -122,3 +122,10 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkseek.llm.ctw import score
 
     return score(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkseek.llm.jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), 3, 90, 100)
