@@ -129,3 +129,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkseek.llm.jaccard import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+@_query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkseek.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
