@@ -136,3 +136,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkseek.llm.suffix_dedup import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+@_query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkseek.llm.decontam import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
