@@ -175,16 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     return vectors, train(x, np.array([r[1] for r in got], int))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
-    """The rows of docs (with a column text) and their score."""
+def score(docs: DataFrame, vectors: np.ndarray, net: Network, column: str = "score") -> DataFrame:
+    """The rows of docs (with a column text) and their score in a column of the given name."""
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(column, DoubleType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             s = net.score(pooled(batch, vectors))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(work, schema)
 
