@@ -1 +1,10 @@
 """Declarative vector and hybrid retrieval on Spark."""
+
+from __future__ import annotations
+
+from sparkseek.errors import SeekError
+from sparkseek.inject import get_shard, inject_filter, set_shard
+from sparkseek.lexer import tokenize
+from sparkseek.parser import is_valid, parse, parse_one
+
+__all__ = ["SeekError", "get_shard", "inject_filter", "is_valid", "parse", "parse_one", "set_shard", "tokenize"]

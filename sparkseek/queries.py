@@ -6,13 +6,12 @@ Every query runs over its whole tables; LIMIT is part of what is asked. Scores a
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.embed import HashingEmbedder
+from sparkseek.embed import Embedder
 from sparkseek.engine import Engine
 from sparkseek.functions.text import sparse_column, tokens
 from sparkseek.inject import inject_filter
@@ -202,24 +201,41 @@ _CROSS = f"""
     SELECT doc_id::VARCHAR AS id, 'documents' AS collection, text, round(len(list_intersect(ws, qs)) / (1.0::DOUBLE + len(ws) + len(qs) - len(list_intersect(ws, qs))), 6) AS score
     FROM d, q ORDER BY len(list_intersect(ws, qs)) / (1.0::DOUBLE + len(ws) + len(qs) - len(list_intersect(ws, qs))) DESC, id LIMIT 10"""
 seek("cross_rerank", f"QUERY CROSS RERANK '{TEXT_QUERY}' MODEL 'overlap' FROM documents PREFETCH (QUERY ORDER BY n_chars FROM documents WHERE n_chars < 400 AND lang = 'en' LIMIT 60) LIMIT 10", _CROSS)
-HYBRID_TEXT = "the that and with"
 
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid over a collection with one dense vector (hashed words, made by the default embedder) and one sparse."""
-    @F.pandas_udf("array<float>")
-    def dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embed = HashingEmbedder()
-        for batch in batches:
-            yield pd.Series(embed.dense(batch.fillna("").tolist(), None, 32))
+class _Numbers(Embedder):
+    """Every text is the same dense vector, so SQL can follow it."""
 
-    e = engine(spark, sf_dir)
-    docs = _read(spark, sf_dir, "documents").withColumn("dense", dense("text")).withColumn("sparse", sparse_column(F.col("text")))
-    e.register("both", docs, "doc_id", {"dense": VectorDef(size=32), "sparse": VectorDef("sparse", idf=True)}, payload=["lang"])
-    return _rounded(e.query(f"QUERY TEXT '{HYBRID_TEXT}' FROM both USING HYBRID FUSION RRF WHERE lang = 'en' LIMIT 10"))
+    def dense(self, texts, model, size):
+        return [[3.0, 5.0, 7.0, 1.0] for _ in texts]
 
 
-QUERIES["hybrid_rrf"] = _hybrid
+def _hybrid(method: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _read(spark, sf_dir, "documents")
+        numbers = F.array(*(x.cast("float") for x in (F.col("n_chars") % 7, F.col("doc_id") % 11, F.col("doc_id") % 13, F.lit(1))))
+        both = docs.withColumn("dense", numbers).withColumn("sparse", sparse_column(F.col("text"), "bm25"))
+        e = Engine(spark, _Numbers())
+        e.register("both", both, "doc_id", {"dense": VectorDef(size=4), "sparse": VectorDef("sparse", idf=True)}, payload=["lang"])
+        return _rounded(e.query(f"QUERY TEXT '{TEXT_QUERY}' FROM both USING HYBRID FUSION {method} WHERE lang = 'en' LIMIT 10"))
+
+    return run
+
+
+def _hybrid_sql(method: str) -> str:
+    sparse = _sparse_sql(TEXT_QUERY, True).replace("SELECT id, lang, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 10", "")
+    cos = "((n_chars % 7) * 3.0::DOUBLE + (doc_id % 11) * 5 + (doc_id % 13) * 7 + 1) / (sqrt(84.0::DOUBLE) * sqrt(pow(n_chars % 7, 2) + pow(doc_id % 11, 2) + pow(doc_id % 13, 2) + 1))"
+    part = f"1.0::DOUBLE / ({RRF_K} + r)" if method == "RRF" else f"(score - (avg(score) OVER () - {DBSF_SIGMAS} * stddev_samp(score) OVER ())) / ({2 * DBSF_SIGMAS} * stddev_samp(score) OVER ())"
+    return f"""{sparse},
+    a AS (SELECT doc_id AS id, {cos} AS score, row_number() OVER (ORDER BY {cos} DESC, doc_id) AS r FROM documents WHERE lang = 'en' ORDER BY r LIMIT 100),
+    b AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM s WHERE lang = 'en' ORDER BY r LIMIT 100),
+    f AS (SELECT id, sum(p) AS score FROM (SELECT id, {part} AS p FROM a UNION ALL SELECT id, {part} FROM b) GROUP BY id)
+    SELECT id, 'en' AS lang, round(score, 6) AS score FROM f ORDER BY f.score DESC, id LIMIT 10"""
+
+
+for _method in ("RRF", "DBSF"):
+    QUERIES[f"hybrid_{_method.lower()}"] = _hybrid(_method)
+    ORACLE[f"hybrid_{_method.lower()}"] = _hybrid_sql(_method)
 
 # --- groups ---------------------------------------------------------------------------------------------------
 

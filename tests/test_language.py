@@ -108,3 +108,20 @@ def test_sparse_text():
     assert indices == sorted(indices) and dict(zip(indices, values))[token_index("hello")] == pytest.approx(1 + 0.6931471805599453)
     indices, values = document_vector("hello hello world")
     assert dict(zip(indices, values))[token_index("world")] == pytest.approx(2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / 256)))
+
+
+@pytest.mark.parametrize("body", [
+    {"query": [0.1, 0.2], "using": "v", "limit": 3, "filter": {"must": [{"key": "a", "match": {"value": "x"}}, {"key": "b", "range": {"gt": 1, "lte": 5.5}}], "should": [{"has_id": [1, "u"]}, {"is_empty": {"key": "c"}}], "must_not": [{"key": "d", "match": {"any": [1, 2]}}]}},
+    {"query": {"fusion": "dbsf"}, "prefetch": [{"query": {"indices": [1], "values": [0.5]}, "using": "s", "limit": 9}, {"query": 7, "using": "v", "score_threshold": 0.5}], "with_payload": {"exclude": ["x"]}, "with_vector": ["v"]},
+    {"query": {"formula": {"sum": ["$score", {"mult": [2, {"exp_decay": {"x": "age", "scale": 3}}]}, {"div": {"left": 1, "right": "n", "by_zero_default": 0.5}}, {"key": "t", "match": {"value": "a"}}]}, "defaults": {"age": 1}}, "prefetch": {"query": 3, "using": "v"}},
+    {"query": {"nearest": [1, 2], "mmr": {"diversity": 0.3, "candidates_limit": 20}}, "using": "v", "group_by": "g", "group_size": 2, "with_lookup": "other"},
+    {"query": {"discover": {"target": 1, "context": [{"positive": 2, "negative": 3}]}}, "using": "v"}, {"query": {"recommend": {"positive": [1], "negative": [2], "strategy": "best_score"}}, "using": "v"},
+    {"query": {"order_by": {"key": "a", "direction": "desc"}}, "params": {"exact": True}}, {"query": {"sample": "random"}}, {"vector": {"name": "v", "vector": [1, 2]}, "limit": 2}, {"positive": [1], "negative": [], "using": "v"}, {"target": 1, "context": [{"positive": 2, "negative": 3}]},
+    {"filter": {"must": [{"key": "p", "geo_radius": {"center": {"lat": 1, "lon": 2}, "radius": 5}}, {"nested": {"key": "r", "filter": {"must": [{"key": "s", "match": {"text": "x y"}}]}}}]}, "limit": 4, "offset": 5}, {"ids": [1, "a"], "with_payload": True},
+    {"points": [{"id": 1, "vector": {"v": [1, 2]}, "payload": {"a": [1, None, {"b": "it's"}]}}]}, {"points": [1, 2]}, {"payload": {"a": 1}, "points": [1]}, {"keys": ["a"], "filter": {"must": [{"key": "a", "values_count": {"gte": 2}}]}},
+    {"vectors": {"size": 3, "distance": "Cosine"}, "sparse_vectors": {"s": {"modifier": "idf"}}, "hnsw_config": {"m": 4}}, {"field_name": "a", "field_schema": "keyword"},
+])
+def test_converted_requests_parse(body):
+    from sparkseek.sources.convert import convert
+
+    assert len(parse(convert(body, "my docs"))) == 1
