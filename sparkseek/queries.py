@@ -229,8 +229,8 @@ def _hybrid_sql(method: str) -> str:
     return f"""{sparse},
     a AS (SELECT doc_id AS id, {cos} AS score, row_number() OVER (ORDER BY {cos} DESC, doc_id) AS r FROM documents WHERE lang = 'en' ORDER BY r LIMIT 100),
     b AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM s WHERE lang = 'en' ORDER BY r LIMIT 100),
-    f AS (SELECT id, sum(p) AS score FROM (SELECT id, {part} AS p FROM a UNION ALL SELECT id, {part} FROM b) GROUP BY id)
-    SELECT id, 'en' AS lang, round(score, 6) AS score FROM f ORDER BY f.score DESC, id LIMIT 10"""
+    fused AS (SELECT id, sum(p) AS score FROM (SELECT id, {part} AS p FROM a UNION ALL SELECT id, {part} FROM b) GROUP BY id)
+    SELECT id, 'en' AS lang, round(score, 6) AS score FROM fused ORDER BY fused.score DESC, id LIMIT 10"""
 
 
 for _method in ("RRF", "DBSF"):
