@@ -189,7 +189,7 @@ def upsert(catalog: Catalog, embedder: Embedder, u: n.Upsert) -> int:
     _stored(catalog, c)
     wanted = tuple(u.points[i].id for i in chosen)
     buckets = catalog.buckets_of(c, wanted)
-    kept = catalog.part(c, buckets).where(~c.id_in(wanted))
+    kept = catalog.part(c, buckets).where(c.id_not_in(wanted))
     catalog.store(c, kept.unionByName(new), buckets)
     return len(chosen)
 

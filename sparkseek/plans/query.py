@@ -75,7 +75,7 @@ class Planner:
     def without(self, rows: DataFrame, c: Collection, inputs: list[n.Input], lookup: Any = None) -> DataFrame:
         """Points that a query names by id are no hits of it."""
         ids = tuple(i.id for i in inputs if isinstance(i, n.PointInput))
-        return rows.where(~c.id_in(ids)) if ids and lookup is None else rows
+        return rows.where(c.id_not_in(ids)) if ids and lookup is None else rows
 
     def sources(self, q: n.Query, c: Collection) -> list[tuple[DataFrame, bool]]:
         out = []
@@ -190,7 +190,7 @@ class Planner:
         if not positive:
             fail("POINT", "no positive point has a vector")
         if at is None:
-            rows = rows.where(~c.id_in((*e.positive, *e.negative)))
+            rows = rows.where(c.id_not_in((*e.positive, *e.negative)))
         if e.strategy == "best_score":
             return self.by_score(rows, score.best_score(name, d, positive, negative))
         if e.strategy == "sum_scores":

@@ -81,7 +81,11 @@ class Collection:
         return F.lit(value).cast(kind)
 
     def id_in(self, ids: tuple[PointId, ...]) -> Column:
-        return F.coalesce(F.col("__id").isin(*map(self.id_literal, ids)), F.lit(False))
+        """Null for a null id, so that the scan can take it; `id_not_in` keeps those rows."""
+        return F.col("__id").isin(*map(self.id_literal, ids))
+
+    def id_not_in(self, ids: tuple[PointId, ...]) -> Column:
+        return ~F.coalesce(self.id_in(ids), F.lit(False))
 
     def id_output(self) -> Column:
         kind = self.schema["__id"].dataType
