@@ -43,13 +43,13 @@ _FIELDS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.
 _LOW = np.uint64(255)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     import zstandard
 
     arrays = tuple(np.ascontiguousarray(a) for a in arrays)
     head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
     kinds = "".join(a.dtype.char for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=1).compress(head + kinds + b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head + kinds + b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -366,9 +366,9 @@ def _scorer(n_grams: int, n_words: int, depth: int):
     return work
 
 
-def size_of(df: DataFrame) -> int:
-    """Spark's estimate of the table's bytes, for numbers of partitions only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def text_bytes(docs: DataFrame) -> int:
+    """The bytes of the column text, for numbers of partitions and buckets only."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK) -> DataFrame:
@@ -378,7 +378,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = documents.sparkSession
     key = F.col(id_col).cast("long")
     docs = documents.select(key.alias("doc_id"), F.coalesce(F.crc32(key.cast("string")) % 5 == 1, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    n = max(16, 2 * size_of(documents) // BUCKET_BYTES)
+    n = max(16, text_bytes(docs) // BUCKET_BYTES)
     n_grams, n_words = min(n, 1 << 15), n
     path = fresh_path(spark, "ctw-lists")
     docs.mapInArrow(_lister(n_grams, n_words, depth, block_bytes), FIELDS).write.option("compression", "none").partitionBy("kind").parquet(path)

@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 
 from sparkseek.llm.common import Words, accumulate, mix, shingles, slices, strings, written
 from sparkseek.llm.components import components
-from sparkseek.llm.ctw import _pack, _unpack, size_of
+from sparkseek.llm.ctw import _pack, _unpack, text_bytes
 
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
+FIRST = 5
 FRAGMENTS = 4
-BUCKET_BYTES = 24 << 20  # of input for each bucket
+BUCKET_BYTES = 48 << 20  # of text for each bucket
 GROUP_PAIRS = 1 << 15
 STAR = 2000  # leaves of a centre in one group
 BROADCAST_CLASSES = 200_000
@@ -46,7 +47,7 @@ ROW = "bucket int, kind int, n long, data binary"
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+    return (h >> np.uint64(42)).astype(np.int64)
 
 
 def signature(s: np.ndarray) -> int:
@@ -76,7 +77,7 @@ def _prefixes(k: int, num: int, den: int, counts: np.ndarray, n_buckets: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
-            members, grams, sigs, sizes, seen = [], [], [], [], set()
+            members, grams, sigs, sizes, lows, seen = [], [], [], [], [], set()
             for s in _sets(batch, k):
                 sig = signature(s) if len(s) else 0
                 members.append((sig, len(s)))
@@ -90,17 +91,18 @@ def _prefixes(k: int, num: int, den: int, counts: np.ndarray, n_buckets: int):
                     grams.append(ordered(part, counts)[:size])
                     sigs.append(np.full(size, sig, np.int64))
                     sizes.append(np.full(size, n, np.uint32))
+                    lows.append(np.full(size, s[0] >> np.uint64(32), np.uint32))
             ids = batch.column(0)
             m = np.array(members, np.int64).reshape(-1, 2)
             out = [{"bucket": -1, "kind": 0, "n": len(m), "data": _pack(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), m[:, 0], m[:, 1])}]
             if grams:
-                g, s, z = np.concatenate(grams), np.concatenate(sigs), np.concatenate(sizes)
+                g, s, z, m = (np.concatenate(x) for x in (grams, sigs, sizes, lows))
                 of = (g % np.uint64(n_buckets)).astype(np.int32)
                 order = np.lexsort((g, of))
                 ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
                 for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
                     p = order[a:b]
-                    out.append({"bucket": int(of[p[0]]), "kind": 1, "n": len(p), "data": _pack(g[p], s[p], z[p])})
+                    out.append({"bucket": int(of[p[0]]), "kind": 1, "n": len(p), "data": _pack(g[p], s[p], z[p], m[p])})
             yield pa.RecordBatch.from_pylist(out, _ROW)
 
     return work
@@ -114,12 +116,12 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct (n-gram, signature) in this order, with sizes."""
-    g, s, z = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((s, g))
-    g, s, z = g[order], s[order], z[order]
-    keep = np.concatenate(([True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])))
-    return g[keep], s[keep], z[keep]
+    """Distinct (n-gram, signature) in this order, with sizes and smallest hashes."""
+    cols = [np.concatenate(x) for x in zip(*parts)]
+    order = np.lexsort((cols[1], cols[0]))
+    g, s = cols[0][order], cols[1][order]
+    order = order[np.concatenate(([True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])))]
+    return tuple(c[order] for c in cols)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], merge) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
@@ -141,8 +143,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], merge) -> Iterator[tuple[int, tu
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket the lists with at least two classes: list number, signature, size."""
-    for bucket, (g, s, z) in _grouped(batches, _distinct):
+    """For each bucket the lists with at least two classes: list number, signature, size, smallest hash."""
+    for bucket, (g, s, z, m) in _grouped(batches, _distinct):
         begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         size = np.diff(np.append(begin, len(g)))
         of = np.repeat(np.arange(len(begin)), size)
@@ -154,7 +156,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once[first] = True
         keep &= once[of]
         if keep.any():
-            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "kind": 2, "n": int(keep.sum()), "data": _pack(of[keep], s[keep], z[keep])}], _ROW)
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "kind": 2, "n": int(keep.sum()), "data": _pack(of[keep], s[keep], z[keep], m[keep])}], _ROW)
 
 
 def _near(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -163,16 +165,16 @@ def _near(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.minimum(a, b) * den >= np.maximum(a, b) * num
 
 
-def _pair_rows(a, b, na, nb, n_groups: int) -> Iterator[dict]:
-    """Pairs, dealt into groups by centre a; a centre with many leaves is dealt into several."""
+def _pair_rows(a, b, na, nb, low, n_groups: int) -> Iterator[dict]:
+    """Pairs, dealt into groups by the smallest hash of centre a; a centre with many leaves is dealt into several."""
     order = np.lexsort((b, a))
-    a, b, na, nb = a[order], b[order], na[order], nb[order]
+    a, b = a[order], b[order]
     keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    a, b, na, nb = a[keep], b[keep], na[keep], nb[keep]
+    a, b, na, nb, low = a[keep], b[keep], na[order][keep], nb[order][keep], low[order][keep]
     begin = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
     salts = 1 + np.diff(np.append(begin, len(a))) // STAR
     salt = mix(b.view(np.uint64)) % np.repeat(salts, np.diff(np.append(begin, len(a)))).astype(np.uint64)
-    of = (mix(a.view(np.uint64) + salt) % np.uint64(n_groups)).astype(np.int32)
+    of = (mix(mix(low.astype(np.uint64)) + salt) % np.uint64(n_groups)).astype(np.int32)
     order = np.argsort(of, kind="stable")
     ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
     for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()):
@@ -184,7 +186,7 @@ def _stars(num: int, den: int, n_groups: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(3).to_pylist():
-                of, s, z = _unpack(data)
+                of, s, z, m = _unpack(data)
                 # the centre of a list is its class that is in most lists of the bucket
                 _, inverse, often = np.unique(s, return_inverse=True, return_counts=True)
                 order = np.lexsort((s, -often[inverse], of))
@@ -194,7 +196,7 @@ def _stars(num: int, den: int, n_groups: int):
                 a, b = centre, order
                 ok = (s[a] != s[b]) & _near(z[a], z[b], num, den)
                 if ok.any():
-                    yield pa.RecordBatch.from_pylist(list(_pair_rows(s[a[ok]], s[b[ok]], z[a[ok]], z[b[ok]], n_groups)), _ROW)
+                    yield pa.RecordBatch.from_pylist(list(_pair_rows(s[a[ok]], s[b[ok]], z[a[ok]], z[b[ok]], m[a[ok]], n_groups)), _ROW)
 
     return work
 
@@ -202,39 +204,39 @@ def _stars(num: int, den: int, n_groups: int):
 def _flat_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
-            of, s, z = _unpack(data)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), bucket, np.int32)), pa.array(of), pa.array(s), pa.array(z.astype(np.int64))], names=["bucket", "list", "sig", "n"])
+            of, s, z, m = _unpack(data)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), bucket, np.int32)), pa.array(of), pa.array(s), pa.array(z.astype(np.int64)), pa.array(m.astype(np.int64))], names=["bucket", "list", "sig", "n", "low"])
 
 
 def _cross(num: int, den: int, n_groups: int):
-    """Rows (bucket, list, sig, n, component) in this order: the pairs of a list that no component joins yet."""
+    """Rows (bucket, list, sig, n, low, component) in this order: the pairs of a list that no component joins yet."""
 
-    def pairs(s: np.ndarray, z: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def pairs(s: np.ndarray, z: np.ndarray, m: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         order = np.lexsort((s, z))  # by size, so that those near enough in size stand together
-        s, z, c = s[order], z[order], c[order]
+        s, z, m, c = s[order], z[order], m[order], c[order]
         last = np.searchsorted(z, z * den // num, "right")
         for i in range(len(s) - 1):
             j = np.arange(i + 1, last[i])
             j = j[c[j] != c[i]]
             if len(j):
-                yield np.full(len(j), s[i]), s[j], np.full(len(j), z[i]), z[j]
+                yield np.full(len(j), s[i]), s[j], np.full(len(j), z[i]), z[j], np.full(len(j), m[i])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lists, done, waiting, held = None, [], set(), [], 0
 
         def finish() -> Iterator[tuple[np.ndarray, ...]]:
-            s, z, c = (np.concatenate(x) for x in zip(*lists))
+            s, z, m, c = (np.concatenate(x) for x in zip(*lists))
             if (c != c[0]).any():
                 key = hashlib.blake2b(np.sort(s).tobytes(), digest_size=16).digest()
                 if key not in done:
                     done.add(key)
-                    yield from pairs(s, z, c)
+                    yield from pairs(s, z, m, c)
 
         def rows() -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(list(_pair_rows(*(np.concatenate(x) for x in zip(*waiting)), n_groups)), _ROW)
 
         for batch in batches:
-            b, of, s, z, c = (batch.column(i).to_numpy() for i in range(5))
+            b, of, s, z, m, c = (batch.column(i).to_numpy() for i in range(6))
             begin = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (of[1:] != of[:-1]))))
             for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(b)]):
                 key = (int(b[i]), int(of[i]))
@@ -249,7 +251,7 @@ def _cross(num: int, den: int, n_groups: int):
                         yield from rows()
                         waiting, held = [], 0
                     now, lists = key, []
-                lists.append((s[i:j], z[i:j], c[i:j]))
+                lists.append((s[i:j], z[i:j], m[i:j], c[i:j]))
         if lists:
             waiting += finish()
         if waiting:
@@ -283,23 +285,78 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SEGMENT = pa.schema([("bucket", pa.int32()), ("fragment", pa.int32()), ("sig", pa.int64()), ("data", pa.binary())])
 
 
-def _segments(k: int):
-    """The sets cut by the fragments of the order."""
+_PIVOT = np.uint64((1 << 64) // FIRST)
+
+
+def _segments(k: int, ahead: bool):
+    """The sets cut by the fragments of the order, or only the first fragment, with 32 bits of each hash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
         for batch in slices(batches, "text"):
             groups, sigs, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for of, sig, s in zip(groups, sigs, _sets(batch, k)):
-                if not len(s) or signature(s) != sig:  # another text under the same id
-                    continue
-                cut = np.searchsorted(s, np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64))
-                for f, part in enumerate(np.split(s, cut)):
+                parts = [(s[: np.searchsorted(s, _PIVOT)] >> np.uint64(30)).astype(np.uint32)] if ahead else np.split(s, np.searchsorted(s, pivots))
+                for f, part in enumerate(parts):
                     out += [{"bucket": g, "fragment": f, "sig": sig, "data": part.tobytes()} for g in of]
             yield pa.RecordBatch.from_pylist(out, _SEGMENT)
 
     return work
 
 
+def _own_text(k: int):
+    """Rows whose text has the wanted signature: rows with equal ids may have other texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            keep = [len(s) > 0 and signature(s) == sig for s, sig in zip(_sets(batch, k), batch.column(0).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return work
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray, held: dict[int, np.ndarray]) -> np.ndarray:
+    """The intersections' sizes of pairs in the order of a; a's leaves are looked up many at a time."""
+    out = np.zeros(len(a), np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(a)]):
+        one = held[int(a[i])]
+        if not len(one):
+            continue
+        for c in range(i, j, 256):
+            parts = [held[x] for x in b[c: min(j, c + 256)].tolist()]
+            sizes = np.array([len(p) for p in parts])
+            full = np.flatnonzero(sizes)
+            if len(full):
+                every = np.concatenate(parts)
+                hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+                out[c + full] = np.add.reduceat(hit, (np.cumsum(sizes) - sizes)[full], dtype=np.int64)
+    return out
+
+
+def _survivors(num: int, den: int):
+    """Rows in the order of (group, sig), the group's pairs last (sig null): the pairs that may still reach the threshold."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            for group, sig, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if group != now:
+                    now, held = group, {}
+                if sig is not None:
+                    held[sig] = np.frombuffer(data, np.uint32)
+                    continue
+                a, b, na, nb = _unpack(data)
+                size = {x: len(v) for x, v in held.items()}
+                differ = np.array([size[x] for x in a.tolist()], np.int64) + np.array([size[x] for x in b.tolist()], np.int64) - 2 * _overlaps(a, b, held)
+                # den * i >= num * u and i + u = na + nb bound u - i, the number of differing n-grams
+                ok = differ * (den + num) <= (na + nb) * (den - num)
+                if ok.any():
+                    yield pa.RecordBatch.from_pylist([{"bucket": group, "kind": 3, "n": int(ok.sum()), "data": _pack(a[ok], b[ok], na[ok], nb[ok])}], _ROW)
+
+    return work
+
+
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of (group, fragment, sig), the group's pairs last (sig null): the partial overlap of each pair."""
     now, held = None, {}
@@ -311,20 +368,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[sig] = np.frombuffer(data, np.uint64)
                 continue
             a, b, _, _ = _unpack(data)
-            out = np.zeros(len(a), np.uint32)
-            begin = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-            for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(a)]):
-                one = held[int(a[i])]
-                if not len(one):
-                    continue
-                for c in range(i, j, 256):  # leaves of a centre, many at a time
-                    parts = [held[x] for x in b[c: min(j, c + 256)].tolist()]
-                    sizes = np.array([len(p) for p in parts])
-                    full = np.flatnonzero(sizes)
-                    if len(full):
-                        every = np.concatenate(parts)
-                        hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
-                        out[c + full] = np.add.reduceat(hit, (np.cumsum(sizes) - sizes)[full], dtype=np.uint32)
+            out = _overlaps(a, b, held).astype(np.uint32)
             yield pa.RecordBatch.from_pylist([{"bucket": group, "kind": 4, "n": len(out), "data": _pack(out)}], _ROW)
 
 
@@ -353,20 +397,24 @@ def _linked(num: int, den: int):
     return work
 
 
-def _check(pairs: DataFrame, n_groups: int, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The links (a, b) among the pairs."""
-    pairs = written(pairs.repartition(n_groups, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged_pairs, ROW), "jaccard-pairs")
+def _sent(pairs: DataFrame, texts: DataFrame, n_groups: int, k: int, ahead: bool) -> DataFrame:
+    """Segments of the classes that each group's pairs ask for, and the pairs behind them (sig null)."""
     ends = pairs.mapInArrow(_ends, "bucket int, sig long").groupBy("sig").agg(F.collect_set("bucket").alias("buckets"))
-    wanted = written(ends.join(reps, "sig").select("doc_id", "sig", "buckets"), "jaccard-wanted")
+    wanted = written(ends, "jaccard-wanted")
     few = wanted.count() <= BROADCAST_CLASSES
-    # rows with equal ids may have other texts, so the signature is checked behind the join
-    wanted = wanted.withColumnRenamed("doc_id", "rep")
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("buckets", "sig", "text")
-    segments = texts.mapInArrow(_segments(k), "bucket int, fragment int, sig long, data binary")
-    cut = F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))
-    asked = pairs.select("bucket", cut.alias("fragment"), F.lit(None).cast("long").alias("sig"), "data")
-    both = segments.unionByName(asked).repartition(n_groups * FRAGMENTS, "bucket", "fragment").sortWithinPartitions("bucket", "fragment", F.col("sig").asc_nulls_last())
-    partial = both.mapInArrow(_partial, ROW)
+    rows = texts.join(F.broadcast(wanted) if few else wanted, "sig").select("buckets", "sig", "text")
+    segments = rows.mapInArrow(_segments(k, ahead), "bucket int, fragment int, sig long, data binary")
+    fragments = 1 if ahead else FRAGMENTS
+    asked = pairs.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"), F.lit(None).cast("long").alias("sig"), "data")
+    both = segments.unionByName(asked).repartition(n_groups * fragments, "bucket", "fragment")
+    return both.sortWithinPartitions("bucket", "fragment", F.col("sig").asc_nulls_last())
+
+
+def _check(pairs: DataFrame, n_groups: int, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The links (a, b) among the pairs."""
+    pairs = written(pairs.repartition(n_groups, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged_pairs, ROW), "jaccard-pairs")
+    pairs = written(_sent(pairs, texts, n_groups, k, True).mapInArrow(_survivors(num, den), ROW), "jaccard-survivors")
+    partial = _sent(pairs, texts, n_groups, k, False).mapInArrow(_partial, ROW)
     summed = pairs.unionByName(partial).repartition(n_groups, "bucket").sortWithinPartitions("bucket", "kind")
     return written(summed.mapInArrow(_linked(num, den), "a long, b long"), "jaccard-links")
 
@@ -382,20 +430,25 @@ def near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: st
         raise ValueError("the threshold is in (0, 1], the shingles have words")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = frequencies(docs, k)
-    n = max(12, size_of(documents) // BUCKET_BYTES)
+    n = max(12, text_bytes(docs) // BUCKET_BYTES)
     rows = written(docs.mapInArrow(_prefixes(k, num, den, counts, n), ROW), "jaccard-prefixes")
     members = rows.where("kind = 0").mapInArrow(_members, "doc_id long, sig long, n long")
     members = written(members, "jaccard-members")
     lists = written(rows.where("kind = 1").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, ROW), "jaccard-lists")
     reps = members.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
 
+    flat = lists.mapInArrow(_flat_lists, "bucket int, list long, sig long, n long, low long")
+    listed = written(flat.select("sig").distinct().join(reps, "sig").select("sig", F.col("doc_id").alias("rep")), "jaccard-listed")
+    few = listed.count() <= BROADCAST_CLASSES
+    own = docs.join(F.broadcast(listed) if few else listed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sig", "text")
+    texts = written(own.mapInArrow(_own_text(k), "sig long, text string"), "jaccard-texts")
+
     groups = _groups(lists)
-    links = _check(lists.mapInArrow(_stars(num, den, groups), ROW), groups, docs, reps, k, num, den)
+    links = _check(lists.mapInArrow(_stars(num, den, groups), ROW), groups, texts, k, num, den)
     joined = written(components(links), "jaccard-components")
-    flat = lists.mapInArrow(_flat_lists, "bucket int, list long, sig long, n long")
-    marked = flat.join(joined.withColumnRenamed("node", "sig"), "sig", "left").select("bucket", "list", "sig", "n", F.coalesce("component", "sig").alias("component"))
+    marked = flat.join(joined.withColumnRenamed("node", "sig"), "sig", "left").select("bucket", "list", "sig", "n", "low", F.coalesce("component", "sig").alias("component"))
     rest = written(marked.repartition(n, "bucket").sortWithinPartitions("bucket", "list").mapInArrow(_cross(num, den, groups), ROW), "jaccard-cross")
-    more = _check(rest, max(groups, _groups(rest)), docs, reps, k, num, den)
+    more = _check(rest, groups, texts, k, num, den)
     joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = reps.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class", F.coalesce("component", "sig"))
