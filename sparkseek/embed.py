@@ -30,6 +30,10 @@ class Embedder:
     def image(self, sources: Sequence[str], model: str | None, size: int) -> list[list[float]]:
         return fail("EMBEDDING-IMAGE", "this embedder reads no images")
 
+    def joint(self, texts: Sequence[str], model: str | None, size: int, multi_size: int) -> tuple[list, list, list]:
+        """Dense, sparse and multi-vectors; models that make them in one pass override it."""
+        return self.dense(texts, model, size), self.sparse(texts, model), self.multi(texts, model, multi_size)
+
     def rerank_pairs(self, query: str, documents: Sequence[str], model: str) -> list[float]:
         return fail("EMBEDDING", "this embedder scores no pairs")
 

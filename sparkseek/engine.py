@@ -13,6 +13,7 @@ import dataclasses
 import threading
 import time
 import uuid
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -103,6 +104,14 @@ class Engine:
                     break
         return report
 
+    def execute_async(self, script: Any, on_error: str = "stop") -> Future[Report]:
+        """`execute` on a thread of its own."""
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(self.execute, script, on_error)
+        finally:
+            pool.shutdown(wait=False)
+
     def run(self, s: Any) -> DataFrame | None:
         if isinstance(s, n.Query):
             return self.planner.query(s)

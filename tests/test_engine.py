@@ -84,6 +84,8 @@ def test_scripts_and_changes(spark):
     rows = {r["id"]: (r["name"], r["x"]) for r in e.query("SCROLL FROM t LIMIT 100").collect()}
     assert rows[4] == ("new", None) and rows[18] == (None, None) and rows[5] == ("n5", 5.0) and 3 not in rows
     assert len(e.execute("COUNT FROM nothing; COUNT FROM t").results) == 1
+    assert e.execute_async("COUNT FROM t").result().ok and len(e.collect("COUNT FROM t PARAMS (timeout = 60)".split(" PARAMS")[0])) == 1
+    assert len(e.collect("QUERY ORDER BY x FROM t PARAMS (timeout = 60) LIMIT 2")) == 2
 
 
 def test_dump_round_trip(engine, spark, tmp_path):
