@@ -40,12 +40,13 @@ from pyspark.sql import functions as F
 
 from sparkseek.llm.bpe import _order
 from sparkseek.llm.common import fresh_path, mix, separated, slices, strings, written
-from sparkseek.llm.ctw import _pack, _unpack, size_of
+from sparkseek.llm.ctw import _pack, _unpack, text_bytes
 
 LENGTH = 50
 ANCHOR = 20
 BLOCK = 4 << 20
-BUCKET_BYTES = 24 << 20  # of input for each bucket
+PACKED = 6  # zstd level of the texts, which are stored once and shuffled twice
+BUCKET_BYTES = 6 << 20  # of text for each bucket
 ANCHORS, FLAGS, ANSWERS, DOCS = range(4)
 LAST_ID = (1 << 63) - 1
 
@@ -156,7 +157,7 @@ def _blocks(n_buckets: int, length: int, anchor: int, block_bytes: int):
             ids = ids.fill_null(LAST_ID).to_numpy()
             bucket, small, several, _ = Block(ids, data, offs, length, anchor).distinct(n_buckets)
             rows = [{"kind": ANCHORS, "bucket": k, "block": name, "data": _pack(np.diff(small[a:b], prepend=np.uint32(0)), several[a:b].astype(np.uint8))} for k, a, b in _cuts(bucket)]
-            rows.append({"kind": DOCS, "bucket": -1, "block": name, "data": _pack(ids, known, offs, data.copy())})
+            rows.append({"kind": DOCS, "bucket": -1, "block": name, "data": _pack(ids, known, offs, data.copy(), level=PACKED)})
             yield pa.RecordBatch.from_pylist(rows, _FIELDS)
 
     return work
@@ -371,13 +372,13 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("anchors are shorter than the strings, by at most 62 bytes")
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = max(12, 2 * size_of(documents) // BUCKET_BYTES)
+    n = max(48, text_bytes(docs) // BUCKET_BYTES)  # several buckets a task, so that tasks are alike
     path = fresh_path(spark, "suffix-blocks")
     docs.mapInArrow(_blocks(n, length, anchor, BLOCK), FIELDS).write.option("compression", "none").partitionBy("kind").parquet(path)
     table = spark.read.schema(FIELDS).parquet(path).select("kind", "bucket", "block", "data")
     blocks = table.where(F.col("kind") == DOCS)
-    by_bucket = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket", "block")
-    by_block = lambda df: df.repartition(4 * n, "block").sortWithinPartitions("block", "kind", "bucket")
+    by_bucket = lambda df: df.repartition(n // 2, "bucket").sortWithinPartitions("bucket", "block")
+    by_block = lambda df: df.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket")
     flags = written(by_bucket(table.where(F.col("kind") == ANCHORS)).mapInArrow(_flag, FIELDS), "suffix-flags")
     sent = by_block(flags.unionByName(blocks)).mapInArrow(_send(n, length, anchor), FIELDS)
     answers = by_bucket(sent).mapInArrow(_answer(length, anchor), FIELDS)
