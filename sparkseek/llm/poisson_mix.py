@@ -11,8 +11,8 @@ Everything is DataFrame operations. The only gathered data are one row per sourc
 at most BROADCAST_SOURCES of them, and joined by a shuffle otherwise.
 
 Edge cases: a null source is a source of its own; a null id draws as the text 'null'; rows with equal ids draw equal
-counts; weights of 0 drop a source; an empty table gives an empty table. Other columns are carried along unless their
-names start with `__mix_`.
+counts; weights of 0 drop a source; an empty table gives an empty table. Other columns are carried along; one that is
+named like a result column (`names`) is replaced by it, and names that start with `__mix_` are not taken.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 PIECE = 500.0
 BROADCAST_SOURCES = 10_000
 SEED = 17
+NAMES = ("rate", "n_copies", "copy", "shuffle_key")
 
 
 def _uniform(*parts: Column) -> Column:
@@ -57,8 +58,9 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float], default_w
     return counts.join(F.broadcast(total)).select("__mix_source", rate.alias("__mix_rate"))  # total is one row
 
 
-def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, default_weight: float = 1.0, epochs: float = 1.0, seed: int = SEED, shuffle: bool = True) -> DataFrame:
-    """The copies in global random order: the columns of docs, then rate, n_copies, copy (from 1) and shuffle_key."""
+def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, default_weight: float = 1.0, epochs: float = 1.0, seed: int = SEED, shuffle: bool = True, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
+    """The copies in global random order: the columns of docs, then the result columns: rate, n_copies, copy (from 1)
+    and shuffle_key, unless named otherwise."""
     from sparkseek.llm.common import written
 
     by_source = written(rates(docs, source_col, weights or {}, default_weight, epochs), "mix-rates")
@@ -68,7 +70,10 @@ def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     pieces = F.ceil(F.col("__mix_rate") / PIECE).cast("int")
     draw = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(pieces, F.lit(1))), lambda i: _inverse(_uniform(F.lit(str(seed)), key, i.cast("string")), F.col("__mix_rate") / F.greatest(pieces, F.lit(1)))), F.lit(0), lambda a, x: a + x)
     rows = rows.withColumn("__mix_k", F.when(F.col("__mix_rate") > 0, draw).otherwise(0)).where("__mix_k > 0")
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__mix_k"))))
-    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), key, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    copies = copies.withColumn("shuffle_key", order).withColumnsRenamed({"__mix_rate": "rate", "__mix_k": "n_copies"}).drop("__mix_source")
-    return copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else copies
+    copies = rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_k"))))
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), key, F.col("__mix_copy").cast("string"))), 1, 15), 16, 10).cast("long")
+    copies = copies.withColumn("__mix_key", order)
+    if shuffle:
+        copies = copies.repartitionByRange("__mix_key").sortWithinPartitions("__mix_key")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return copies.select(*own, *(F.col(c).alias(name) for c, name in zip(("__mix_rate", "__mix_k", "__mix_copy", "__mix_key"), names)))
