@@ -49,7 +49,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents, every source with the same expected share, in global random order."""
-    return poisson_mix.replicate(docs, seed=SEED).select(*docs.columns)
+    names = tuple(f"__{x}" for x in poisson_mix.NAMES)
+    return poisson_mix.replicate(docs, seed=SEED, names=names).select(*docs.columns)
 
 
 def token_tables(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
