@@ -104,7 +104,7 @@ WORDS[[32, 9, 10, 11, 12, 13]] = 0
 #: Letters, digits and all non-ASCII bytes against punctuation.
 WORDS_AND_MARKS = WORDS.copy()
 WORDS_AND_MARKS[[b for b in range(128) if WORDS[b] and not chr(b).isalnum()]] = 2
-_FAR[0] = _FARTHER[0] = 1  # a word's hash doesn't depend on the words beside it
+_FAR[0] = _FARTHER[0] = 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -123,23 +123,20 @@ class Words:
         buf, starts = separated(data, offs)
         self.buf = LOWER[buf] if lower else buf
         kind = kinds[buf]
-        change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
-        begin = np.concatenate(([0], change))
+        begin = np.concatenate(([0], np.flatnonzero(kind[1:] != kind[:-1]) + 1)).astype(np.int32)
+        sizes = np.diff(begin, append=np.int32(len(buf)))
         real = kind[begin] != 0 if len(buf) else np.zeros(1, bool)
-        self.start, end = begin[real], np.append(change, len(buf))[real]
-        self.size = end - self.start
+        self.start, self.size = begin[real].astype(np.int64), sizes[real].astype(np.int64)
         self.first = np.searchsorted(self.start, np.append(starts, len(buf)))
         if not len(self.start):
             self.hash = np.zeros(0, np.uint64)
             return
-        at = np.flatnonzero(kind)
-        pos = at - np.repeat(self.start, self.size)
-        part = _TABLE[(self.buf[at].astype(np.int32) << 6) | (pos & 63).astype(np.int32)]
+        pos = np.arange(len(buf), dtype=np.int32) - np.repeat(begin, sizes)
+        part = np.take(_TABLE, (self.buf.astype(np.uint16) << np.uint16(6)) | (pos & 63).astype(np.uint16))
         if self.size.max() > 64:
-            part *= _FAR[(pos >> 6) & 1023]
-            part *= _FARTHER[(pos >> 16) & 4095]
-        begin = np.concatenate(([0], np.cumsum(self.size)[:-1]))
-        self.hash = mix(np.add.reduceat(part, begin) + self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            far = np.flatnonzero(pos > 63)
+            part[far] *= _FAR[(pos[far] >> 6) & 1023] * _FARTHER[(pos[far] >> 16) & 4095]
+        self.hash = mix(np.add.reduceat(part, begin)[real] + self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def __len__(self) -> int:
         return len(self.hash)
@@ -199,12 +196,12 @@ def accumulate(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None
                 part = np.frombuffer(zlib.decompress(data), dtype)
                 sums[chunk] = sums[chunk] + part if chunk in sums else part
         for chunk, part in sums.items():
-            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "data": [part.tobytes()]}, _CHUNK)
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "data": [zlib.compress(part.tobytes(), 1)]}, _CHUNK)
 
     fields = "chunk int, data binary"
     n = min(64, max(1, rows.sparkSession.sparkContext.defaultParallelism * 2))
     out = np.zeros((n_rows, n_cols), dtype)
     for r in rows.mapInArrow(work, fields).repartition(n, "chunk").mapInArrow(total, fields).collect():
-        part = np.frombuffer(bytes(r["data"]), dtype).reshape(-1, n_cols)
+        part = np.frombuffer(zlib.decompress(r["data"]), dtype).reshape(-1, n_cols)
         out[r["chunk"] * size: r["chunk"] * size + len(part)] += part
     return out

@@ -3,8 +3,9 @@
 1. Weights. Words (lower-cased A-Z, runs of letters and digits) are hashed to BUCKETS; document frequencies of all
    documents and benchmark texts give the inverse frequencies.
 2. Space. Passages of PASSAGE words are TF-IDF rows (a word counts once) of a matrix X that is never built: each task adds
-   X'(X R), R random, to a BUCKETS x RANK matrix of its own, and the sums are a randomised SVD's range; its singular
-   vectors, those of the strongest DROP set aside (they tell languages apart, not passages), are the latent space.
+   its part of the sketch X'X R, R random, to a BUCKETS x RANK matrix of its own, and the sums are a randomised SVD's
+   range; its singular vectors, those of the strongest DROP set aside (they tell languages apart, not passages), are the
+   latent space.
 3. Candidates. Benchmark items fall into classes of like length; windows of a class's length slide over every document
    by a STRIDE-th of it. A window and an item with a cosine of at least COSINE in the space are a candidate.
 4. Checks. The longest common subsequence of the words of the window, with a margin on both sides, and of the item's:
@@ -37,17 +38,17 @@ RANK, DROP, PASSAGE = 44, 4, 32
 COSINE, STRIDE, RATIO = 0.55, 6, 1.2
 FULL, PARAPHRASE, ANSWER, SHORT = 0.8, 0.6, 0.8, 8
 ITEMS = 4000
-STEP = 1 << 20
+STEP, BATCH = 1 << 20, 16 << 20  # bytes of text whose windows, and whose candidates, are held at once
 WINDOWS = 1 << 15
 
 
+_LETTERS = (WORDS_AND_MARKS == 1).astype(np.uint8)
+
+
 def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, marks left out, and each text's range."""
-    w = Words(data, offs, kinds=WORDS_AND_MARKS)
-    if not len(w):
-        return w.hash, w.first
-    real = WORDS_AND_MARKS[w.buf[w.start]] == 1
-    return w.hash[real], np.concatenate(([0], np.cumsum(real)))[w.first]
+    w = Words(data, offs, kinds=_LETTERS)
+    return w.hash, w.first
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -58,46 +59,41 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return words_of(*strings(batch.column(batch.schema.get_field_index("text"))))
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    def add(matrix: np.ndarray, batch: pa.RecordBatch) -> None:
-        h, first = _texts(batch)
-        n = len(first) - 1
-        pairs = np.sort(_bucket(h) * n + np.repeat(np.arange(n), np.diff(first)))
-        once = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] // n if len(pairs) else pairs
-        matrix[:BUCKETS, 0] += np.bincount(once, minlength=BUCKETS)
-        matrix[BUCKETS, 0] += n
-
-    seen = accumulate(texts, add, BUCKETS + 1, 1)[:, 0]
-    return np.log(1 + seen[BUCKETS] / (seen[:BUCKETS] + 1.0)).astype(np.float32)
+def latent_space(texts: DataFrame, seed: int = 11) -> np.ndarray:
+    """BUCKETS x at most RANK - DROP: the place of each bucket's word, its weight included.
 
-
-def latent_space(texts: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray:
-    """BUCKETS x at most RANK - DROP: the place of each bucket's word, its weight included."""
-    random = np.random.Generator(np.random.PCG64(seed)).standard_normal((BUCKETS, RANK)).astype(np.float32)
-    weighted = idf[:, None] * random
+    One pass. With B the passages' rows of 0 and 1, D the inverse frequencies and X = B D, the sum over the tasks is
+    B'B R; D times it is X'X D^-1 R, a sketch of X by the random matrix D^-1 R. So frequencies and sketch are counted
+    together.
+    """
+    random = np.random.Generator(np.random.PCG64(seed)).standard_normal((RANK, BUCKETS)).astype(np.float32)
 
     def add(matrix: np.ndarray, batch: pa.RecordBatch) -> None:
         h, first = _texts(batch)
+        size = np.diff(first)
+        matrix[BUCKETS, RANK] += len(size)
         if not len(h):
             return
-        size = np.diff(first)
         passages = -(-size // PASSAGE)
         base = np.cumsum(passages) - passages
         at = np.arange(len(h)) - np.repeat(first[:-1], size)
         key = np.sort((np.repeat(base, size) + at // PASSAGE) << BUCKET_BITS | _bucket(h))
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
         row, bucket = key >> BUCKET_BITS, key & (BUCKETS - 1)
-        y = np.add.reduceat(weighted[bucket], np.flatnonzero(np.diff(row, prepend=-1)), axis=0)
-        order = np.argsort(bucket.astype(np.uint16), kind="stable")
-        ordered = bucket[order]
-        begin = np.flatnonzero(np.diff(ordered, prepend=-1))
-        matrix[ordered[begin]] += idf[ordered[begin], None] * np.add.reduceat(y[row[order]], begin, axis=0)
-
-    z = accumulate(texts, add, BUCKETS, RANK, np.float32).astype(float)
-    u, s, _ = np.linalg.svd(z, full_matrices=False)
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        for j in range(RANK):  # a column at a time stays in the cache
+            y = np.add.reduceat(np.take(random[j], bucket, mode="clip"), begin)
+            matrix[:BUCKETS, j] += np.bincount(bucket, np.take(y, row, mode="clip"), BUCKETS)
+        doc = np.repeat(np.arange(len(size)), passages)[row]
+        pairs = np.sort(doc << BUCKET_BITS | bucket)
+        matrix[:BUCKETS, RANK] += np.bincount(pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] & (BUCKETS - 1), minlength=BUCKETS)
+
+    sums = accumulate(texts, add, BUCKETS + 1, RANK + 1, np.float64)
+    idf = np.log(1 + sums[BUCKETS, RANK] / (sums[:BUCKETS, RANK] + 1.0))
+    u, s, _ = np.linalg.svd(idf[:, None] * sums[:BUCKETS, :RANK], full_matrices=False)
     rank = int((s > 1e-6 * max(s[0], 1e-30)).sum())
     skip = min(DROP, rank // 8)
-    # the singular values of z are squares of those of X: dividing by their roots gives each direction the same weight
+    # the singular values here are squares of those of X: dividing by their roots gives each direction the same weight
     return (idf[:, None] * (u[:, skip:rank] / np.sqrt(s[skip:rank]))).astype(np.float32)
 
 
@@ -131,15 +127,30 @@ class Items:
                 size *= RATIO
             self.classes.setdefault(round(size), []).append(i)
 
+        every = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
+        self.vocabulary = every
+        self.numbers = [np.searchsorted(every, w) + 1 for w in self.words]
+
+    def number(self, h: np.ndarray) -> np.ndarray:
+        """Words as numbers: their place among the items' words from 1, or 0."""
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == h, at + 1, 0).astype(np.int32)
+
     def found(self, item: int, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each row of words (0: none) holds the item, and the share of its words in the longest common subsequence."""
-        words, n = self.words[item], len(self.words[item])
-        whole = common_subsequence(words, region)
-        tail = words[n - self.answer[item]:]
-        share = whole / n
-        ok = whole == n if n < SHORT else share >= FULL
+        """Whether each row of words (as numbers) holds the item, and the share of its words in the longest common
+        subsequence, where that can be enough."""
+        words, n = self.numbers[item], len(self.words[item])
+        least = n if n < SHORT else PARAPHRASE * n
+        own = np.zeros(len(self.vocabulary) + 1, bool)
+        own[words] = True
+        some = np.flatnonzero(own[region].sum(1) >= least)  # no fewer words can be common
+        ok, share = np.zeros(len(region), bool), np.zeros(len(region))
+        whole = common_subsequence(words, region[some])
+        share[some] = whole / n
+        ok[some] = whole == n if n < SHORT else share[some] >= FULL
         maybe = np.flatnonzero(~ok & (share >= PARAPHRASE)) if n >= SHORT else np.zeros(0, np.int64)
         if len(maybe):
+            tail = words[n - self.answer[item]:]
             ok[maybe] = common_subsequence(tail, region[maybe]) >= ANSWER * len(tail)
         return ok, share
 
@@ -153,66 +164,100 @@ def common_subsequence(words: np.ndarray, region: np.ndarray) -> np.ndarray:
         match[v, i // 62] |= np.uint64(1 << (i % 62))
     full = np.array([(1 << min(62, len(words) - 62 * k)) - 1 for k in range(limbs)], np.uint64)
     place = np.searchsorted(vocabulary, region)
-    place = np.where(vocabulary[np.minimum(place, len(vocabulary) - 1)] == region, place, len(vocabulary))
-    state = np.tile(full, (len(region), 1))
-    for j in range(region.shape[1]):
+    place = np.where(vocabulary[np.minimum(place, len(vocabulary) - 1)] == region, place, len(vocabulary)).T
+    state = np.tile(full[:, None], (1, len(region)))
+    for column in place:
         carry = np.zeros(len(region), np.uint64)
         for k in range(limbs):
-            s = state[:, k]
-            u = s & match[place[:, j], k]
+            s = state[k]
+            u = s & match[:, k][column]
             total = s + u + carry
             carry = total >> np.uint64(min(62, len(words) - 62 * k))
-            state[:, k] = (total | (s - u)) & full[k]
-    zeros = ~state & full
-    return sum(np.bitwise_count(zeros[:, k]).astype(np.int64) for k in range(limbs))
+            state[k] = (total | (s - u)) & full[k]
+    zeros = ~state & full[:, None]
+    return sum(np.bitwise_count(z).astype(np.int64) for z in zeros)
 
 
-def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, begin, end) of the windows over all documents; the last one ends with the document."""
+def grid(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places, their documents, places a window spans): every STRIDE-th of the size from each document's begin on, and
+    its end. Windows go from a place to the one so many further, or, in a shorter document, from its first to its last."""
     n = np.diff(first)
     stride = max(1, size // STRIDE)
-    count = np.where(n > size, -(-(n - size) // stride) + 1, (n > 0).astype(np.int64))
+    count = np.where(n > 0, -(-n // stride) + 1, 0)
     doc = np.repeat(np.arange(len(n)), count)
     i = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    begin = first[doc] + np.minimum(i * stride, np.maximum(n[doc] - size, 0))
-    return doc, begin, np.minimum(begin + size, first[doc + 1])
+    return np.minimum(first[doc] + i * stride, first[doc + 1]), doc, max(1, round(size / stride))
 
 
-def search(h: np.ndarray, first: np.ndarray, items: Items, space: np.ndarray) -> dict[int, dict[int, float]]:
-    """For each document the items found in it with the share of their words."""
-    out: dict[int, dict[int, float]] = {}
-    if not len(h) or not items.ids:
-        return out
-    sums = np.concatenate((np.zeros((1, space.shape[1])), np.cumsum(space[_bucket(h)], 0, dtype=np.float64)))
-    for size, members in items.classes.items():
-        vectors = items.vectors[members]
-        doc, begin, end = windows(first, size)
+class Search:
+    """Candidates of many texts, then their checks item by item, so that each step has many rows."""
+
+    def __init__(self, items: Items, space: np.ndarray):
+        self.items, self.space = items, np.ascontiguousarray(space.T)
+        self.waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(self, h: np.ndarray, first: np.ndarray, base: int) -> None:
+        """Texts whose numbers start at `base`."""
+        items = self.items
+        if not len(h) or not items.ids:
+            return
+        bucket, number = _bucket(h), items.number(h)
+        sums = np.zeros((len(self.space), len(h) + 1), np.float32)
+        for line, place in zip(sums, self.space):
+            line[1:] = np.cumsum(np.take(place, bucket, mode="clip"), dtype=np.float64)
+        for size, members in items.classes.items():
+            place, doc, span = grid(first, size)
+            ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]), len(doc) - 1) if len(doc) else np.zeros(0, np.int64)
+            begins = np.concatenate(([0], ends[:-1] + 1)) if len(doc) else ends
+            small = ends - begins < span
+            if small.any():
+                self._candidates(members, size, np.take(sums, place[ends[small]], 1) - np.take(sums, place[begins[small]], 1), place[begins[small]], place[ends[small]], doc[ends[small]], number, first, base)
+            for c in range(0, len(place) - span, WINDOWS):
+                at = place[c: c + WINDOWS + span]
+                x = np.empty((len(sums), len(at)), np.float32)
+                for line, out in zip(sums, x):
+                    np.take(line, at, out=out, mode="clip")
+                a, b, d = at[:-span], at[span:], doc[c: c + len(at) - span]
+                v = x[:, span:] - x[:, :-span]
+                v[:, doc[c + span: c + len(at)] != d] = 0  # from one document into another
+                self._candidates(members, size, v, a, b, d, number, first, base)
+
+    def _candidates(self, members: list[int], size: int, v: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray, number: np.ndarray, first: np.ndarray, base: int) -> None:
+        """Keeps the windows (columns of v, from a to b in document d) that are near an item."""
+        v = v / np.maximum(np.sqrt(np.einsum("ij,ij->j", v, v)), np.float32(1e-9))
+        column, row = np.nonzero(self.items.vectors[members] @ v >= COSINE)
+        if not len(row):
+            return
         margin = size // 3 + 1
-        for c in range(0, len(doc), WINDOWS):
-            a, b, d = begin[c: c + WINDOWS], end[c: c + WINDOWS], doc[c: c + WINDOWS]
-            v = (sums[b] - sums[a]).astype(np.float32)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-            row, column = np.nonzero(v @ vectors.T >= COSINE)
-            order = np.argsort(column, kind="stable")
-            row, column = row[order], column[order]
-            cuts = np.flatnonzero(np.diff(column, prepend=-1))
-            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)]):
-                rows, item = row[i:j], members[int(column[i])]
-                left, right = np.maximum(a[rows] - margin, first[d[rows]]), np.minimum(b[rows] + margin, first[d[rows] + 1])
-                at = left[:, None] + np.arange(size + 2 * margin)
-                region = np.where(at < right[:, None], h[np.minimum(at, len(h) - 1)], np.uint64(0))
-                ok, share = items.found(item, region)
-                for r, x in zip(d[rows][ok].tolist(), share[ok].tolist()):
-                    got = out.setdefault(r, {})
-                    got[items.ids[item]] = max(x, got.get(items.ids[item], 0.0))
-    return out
+        left, right = np.maximum(a[row] - margin, first[d[row]]), np.minimum(b[row] + margin, first[d[row] + 1])
+        at = left[:, None] + np.arange(size + 2 * margin + size // STRIDE)
+        region = np.where(at < right[:, None], number[np.minimum(at, len(number) - 1)], 0)
+        cuts = np.flatnonzero(np.diff(column, prepend=-1))
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)]):
+            self.waiting.setdefault(members[int(column[i])], []).append((base + d[row[i:j]], region[i:j]))
+
+    def finish(self) -> dict[int, dict[int, float]]:
+        """For each text the items found in it with the share of their words."""
+        out: dict[int, dict[int, float]] = {}
+        for item, parts in self.waiting.items():
+            docs, region = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            ok, share = self.items.found(item, region)
+            for r, x in zip(docs[ok].tolist(), share[ok].tolist()):
+                got = out.setdefault(r, {})
+                got[self.items.ids[item]] = max(x, got.get(self.items.ids[item], 0.0))
+        self.waiting = {}
+        return out
 
 
 def _searcher(rows: list[tuple[int, str]], space: np.ndarray):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows, space)
-        for batch in slices(batches, "text", STEP):
-            found = search(*_texts(batch), items, space)
+        search = Search(Items(rows, space), space)
+        for batch in slices(batches, "text", BATCH):
+            at = 0
+            for part in slices(iter([batch]), "text", STEP):
+                search.add(*_texts(part), at)
+                at += part.num_rows
+            found = search.finish()
             ids = [sorted(found.get(i, ())) for i in range(batch.num_rows)]
             shares = [max(found[i].values()) if i in found else 0.0 for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int64())), pa.array(shares, pa.float64())], names=[*batch.schema.names, "__items", "__share"])
@@ -227,8 +272,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     items = written(benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")), "benchmark")
     texts = docs.select("text").unionByName(items.select("text"))
-    idf = inverse_frequencies(texts)
-    space = latent_space(texts, idf)
+    space = latent_space(texts)
     schema = StructType([*docs.schema.fields]).add("__items", ArrayType(LongType())).add("__share", DoubleType())
     blocks = max(1, -(-items.count() // ITEMS))
     out = docs
