@@ -11,7 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseek.semantics import DBSF_FLAT, DBSF_SIGMAS
+from sparkseek.semantics import BROADCAST_ROWS, DBSF_FLAT, DBSF_SIGMAS
+
+
+def small(rows: DataFrame, bound: int) -> DataFrame:
+    """Rows that are known to be at most `bound`, marked for a broadcast if that is few."""
+    return F.broadcast(rows) if bound <= BROADCAST_ROWS else rows
 
 
 def union(sources: Sequence[tuple[DataFrame, bool]]) -> DataFrame:
@@ -46,7 +51,7 @@ def group_hits(rows: DataFrame, key: Column, many: bool, order: list[Column], si
     heads = ranked.where("__rank = 1").orderBy(*order, "__group").limit(offset + limit)  # a row a group, at most LIMIT + OFFSET
     place = F.row_number().over(Window.orderBy(*order, "__group"))
     chosen = heads.withColumn("__group_rank", place - offset).where("__group_rank > 0").select(F.col("__group").alias("__chosen"), "__group_rank")
-    return ranked.join(F.broadcast(chosen), F.col("__group") == F.col("__chosen")).drop("__chosen")
+    return ranked.join(small(chosen, limit), F.col("__group") == F.col("__chosen")).drop("__chosen")
 
 
 def mmr(candidates: DataFrame, vector: str, relevance: str, diversity: float, distance: str) -> DataFrame:

@@ -77,6 +77,10 @@ class Planner:
         ids = tuple(i.id for i in inputs if isinstance(i, n.PointInput))
         return rows.where(c.id_not_in(ids)) if ids and lookup is None else rows
 
+    def bound(self, q: n.Query) -> int:
+        """The most rows that the sources of PREFETCH have together."""
+        return sum(self.source(q, p).limit or DEFAULT_LIMIT for p in q.prefetch)
+
     def sources(self, q: n.Query, c: Collection) -> list[tuple[DataFrame, bool]]:
         out = []
         for p in q.prefetch:
@@ -113,16 +117,16 @@ class Planner:
         if isinstance(e, n.Fusion):
             if not q.prefetch:
                 fail("PLAN-FUSION-PREFETCH", "FUSION needs PREFETCH")
-            return self.threshold(self.fused(self.sources(q, c), e.method, dict(q.params), self.base(c, q.where, q.shard)), q)
+            return self.threshold(self.fused(self.sources(q, c), e.method, dict(q.params), self.base(c, q.where, q.shard), self.bound(q)), q)
         rows, first = self.base(c, q.where, q.shard), None
         if q.prefetch:
             candidates = fuse.union(self.sources(q, c))
             if isinstance(e, n.Formula):
                 # a point of several sources has the score of the first
                 first = candidates.groupBy("__id").agg(F.min_by("__score", "__source").alias("__first"))
-                rows = rows.join(F.broadcast(first), "__id")  # at most the sources' LIMITs together
+                rows = rows.join(fuse.small(first, self.bound(q)), "__id")
             else:
-                rows = rows.join(F.broadcast(candidates.select("__id").distinct()), "__id", "left_semi")
+                rows = rows.join(fuse.small(candidates.select("__id").distinct(), self.bound(q)), "__id", "left_semi")
         if isinstance(e, n.OrderBy):
             return self.ordered(c, rows, e)
         if isinstance(e, n.Sample):
@@ -178,7 +182,7 @@ class Planner:
             top = near.rows.orderBy(*near.order).limit(e.candidates)
             top = top.withColumn("__gain", F.col("__score") if d.descending else -F.col("__score"))
             out = fuse.mmr(top.select("__id", "__score", "__gain", score.column(name).alias("__vector")), "__vector", "__gain", e.diversity, "DOT" if d.kind == "sparse" else d.distance)
-            full = rows.join(F.broadcast(out.select("__id", "__score", F.col("__rank").alias("__order"))), "__id")  # CANDIDATES rows
+            full = rows.join(fuse.small(out.select("__id", "__score", F.col("__rank").alias("__order")), e.candidates), "__id")
             return Ranked(full, [F.col("__order"), F.col("__id")], d.descending)
         return self.by_score(rows, score.similarity(name, d, v), d.descending)
 
@@ -208,15 +212,15 @@ class Planner:
             side = n.Query(n.Nearest(e.text), c.name, n.Target(name, kind), where=q.where, shard=q.shard, threshold=q.threshold)
             r = self.ranked(side, c)
             sources.append((self.page(r, limit, None).select("__id", "__score"), r.descending))
-        return self.fused(sources, e.method, dict(q.params), self.base(c, q.where, q.shard))
+        return self.fused(sources, e.method, dict(q.params), self.base(c, q.where, q.shard), 2 * limit)
 
-    def fused(self, sources: list[tuple[DataFrame, bool]], method: str, params: dict, rows: DataFrame) -> Ranked:
+    def fused(self, sources: list[tuple[DataFrame, bool]], method: str, params: dict, rows: DataFrame, bound: int) -> Ranked:
         candidates = fuse.union(sources)
         if method == "rrf":
             scores = fuse.rrf(candidates, params.get("rrf_k", RRF_K), params.get("rrf_weights", (1.0,) * len(sources)))
         else:
             scores = fuse.dbsf(candidates)
-        return self.by_score(rows.join(F.broadcast(scores), "__id"), F.col("__score"))  # the sources' LIMITs bound it
+        return self.by_score(rows.join(fuse.small(scores, bound), "__id"), F.col("__score"))
 
     # --- groups
 
