@@ -173,6 +173,30 @@ def test_decontamination(spark, docs, data, none):
     assert not any(r["contaminated"] for r in decontaminate(docs, items.limit(0)).collect())
 
 
+def test_decontamination_of_paraphrases(spark):
+    """Words replaced at random: found well below four fifths of the item, also where the last sentence is hit."""
+    from sparkseek.llm.decontam import bars, decontaminate
+
+    rng = random.Random(12)
+    word = lambda k: f"{rng.choice('bcdfgklm')}{rng.choice('aeiou')}{rng.choice('nrst')}{rng.choice('aeiou')}{k}"
+    items = [" ".join(word(rng.randint(0, 40)) for _ in range(34)) + ". " + " ".join(word(rng.randint(0, 40)) for _ in range(6)) + "." for _ in range(12)]
+
+    def changed(text, places):
+        return " ".join(sentence(rng, 1) if i in places else w for i, w in enumerate(text.split()))
+
+    hosts = [sentence(rng, 150) for _ in range(60)]
+    planted = [changed(t, {*rng.sample(range(34), 6), 35, 36, 38, 39}) for t in items[:6]]  # 30 of 40 words, 2 of 6 of the answer
+    kept = [changed(t, set(rng.sample(range(34), 20))) for t in items[6:]]  # 20 of 40 words, the answer whole
+    texts = hosts + [f"{sentence(rng, 40)} {t} {sentence(rng, 40)}" for t in planted + kept]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["item_ids"], r["lcs_share"]) for r in decontaminate(docs, spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
+    assert all(found[i] == ([], 0.0) for i in range(60))
+    caught = [i for i in range(12) if found[60 + i][0]]
+    assert all(found[60 + i] == ([i], 0.75 if i < 6 else 0.5) for i in caught)
+    assert sum(i < 6 for i in caught) >= 5 and sum(i >= 6 for i in caught) >= 3  # the others miss the cosine
+    assert all(a <= 0.8 * n and b <= 0.6 * n for n in range(8, 200) for a, b in [bars(n)]) and bars(7) == (7, 7)
+
+
 def test_common_subsequence_over_limbs():
     from sparkseek.llm.decontam import common_subsequence
 
