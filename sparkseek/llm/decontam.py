@@ -17,8 +17,8 @@ The space has a fixed size whatever the corpus. The benchmark is sent to all tas
 larger one takes several passes over the documents. Every document's whole text is searched.
 
 Edge cases: null and empty texts and items without words match nothing; documents shorter than a window are one window;
-repeated rows are judged each; an empty benchmark leaves all documents clean. Items with a null id are left out. Only the
-id and text columns are read.
+repeated rows are judged each; an empty benchmark leaves all documents clean. Items with a null id are searched like the others
+and stand as one null at the end of the ids found. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def last_sentence(text: str) -> str:
 class Items:
     """Benchmark items by classes of length, with what the checks need."""
 
-    def __init__(self, rows: list[tuple[int, str]], space: np.ndarray):
+    def __init__(self, rows: list[tuple[int | None, str]], space: np.ndarray):
         self.ids, self.words, self.answer = [], [], []
         raw = [t.encode() for _, t in rows]
         h, first = words_of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64))))
@@ -243,9 +243,9 @@ class Search:
         for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)]):
             self.waiting.setdefault(members[int(column[i])], []).append((base + d[row[i:j]], region[i:j]))
 
-    def finish(self) -> dict[int, dict[int, float]]:
+    def finish(self) -> dict[int, dict[int | None, float]]:
         """For each text the items found in it with the share of their words."""
-        out: dict[int, dict[int, float]] = {}
+        out: dict[int, dict[int | None, float]] = {}
         for item, parts in self.waiting.items():
             docs, region = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             ok, share = self.items.found(item, region)
@@ -256,7 +256,11 @@ class Search:
         return out
 
 
-def _searcher(rows: list[tuple[int, str]], space: np.ndarray):
+def _nulls_last(item: int | None) -> tuple[bool, int]:
+    return item is None, item or 0
+
+
+def _searcher(rows: list[tuple[int | None, str]], space: np.ndarray):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(Items(rows, space), space)
         for batch in slices(batches, "text", BATCH):
@@ -265,7 +269,7 @@ def _searcher(rows: list[tuple[int, str]], space: np.ndarray):
                 search.add(*_texts(part), at)
                 at += part.num_rows
             found = search.finish()
-            ids = [sorted(found.get(i, ())) for i in range(batch.num_rows)]
+            ids = [sorted(found.get(i, ()), key=_nulls_last) for i in range(batch.num_rows)]
             shares = [max(found[i].values()) if i in found else 0.0 for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int64())), pa.array(shares, pa.float64())], names=[*batch.schema.names, "__items", "__share"])
 
@@ -273,24 +277,24 @@ def _searcher(rows: list[tuple[int, str]], space: np.ndarray):
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs (with a column text), __items (the ids found, ascending) and __share (the largest share of an
+    """The rows of docs (with a column text), __items (the ids found, ascending, null last) and __share (the largest share of an
     item's words). benchmark: item_id, text."""
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-    items = written(benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")), "benchmark")
+    items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")), "benchmark")
     texts = docs.select("text").unionByName(items.select("text"))
     space = latent_space(texts)
     schema = StructType([*docs.schema.fields]).add("__items", ArrayType(LongType())).add("__share", DoubleType())
     blocks = max(1, -(-items.count() // ITEMS))
     out = docs
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = sorted(tuple(r) for r in part.collect())  # about ITEMS of them
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        rows = sorted((tuple(r) for r in part.collect()), key=lambda r: (_nulls_last(r[0]), r[1]))  # about ITEMS of them
         if k:
             out = out.withColumnsRenamed({"__items": "__items_before", "__share": "__share_before"})
             more = StructType([*out.schema.fields]).add("__items", ArrayType(LongType())).add("__share", DoubleType())
             out = out.mapInArrow(_searcher(rows, space), more)
-            out = out.withColumn("__items", F.array_sort(F.concat("__items_before", "__items"))).withColumn("__share", F.greatest("__share_before", "__share")).drop("__items_before", "__share_before")
+            out = out.withColumn("__items", F.array_sort(F.array_distinct(F.concat("__items_before", "__items")))).withColumn("__share", F.greatest("__share_before", "__share")).drop("__items_before", "__share_before")
         else:
             out = out.mapInArrow(_searcher(rows, space), schema)
     return out

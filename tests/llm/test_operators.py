@@ -197,6 +197,20 @@ def test_decontamination_of_paraphrases(spark):
     assert all(a <= 0.8 * n and b <= 0.6 * n for n in range(8, 200) for a, b in [bars(n)]) and bars(7) == (7, 7)
 
 
+def test_decontamination_with_null_item_ids(spark, monkeypatch):
+    from sparkseek.llm import decontam
+
+    rng = random.Random(3)
+    unique = [" ".join(f"{rng.choice('bcdfgklm')}{rng.choice('aeiou')}{rng.choice('nrst')}{rng.randint(0, 99)}" for _ in range(24)) for _ in range(4)]
+    texts = [sentence(rng, 80), "a " + unique[0] + " z", unique[1] + " . " + unique[3], unique[2] + " . " + unique[1]]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, unique[0]), (None, unique[1]), (None, unique[2]), (7, unique[3]), (None, None)], "item_id long, text string")
+    for most in (decontam.ITEMS, 2):  # in one block and in several
+        monkeypatch.setattr(decontam, "ITEMS", most)
+        found = {r["doc_id"]: (r["contaminated"], r["item_ids"], r["lcs_share"]) for r in decontam.decontaminate(docs, items).collect()}
+        assert found == {0: (False, [], 0.0), 1: (True, [None], 1.0), 2: (True, [7, None], 1.0), 3: (True, [None], 1.0)}
+
+
 def test_common_subsequence_over_limbs():
     from sparkseek.llm.decontam import common_subsequence
 
