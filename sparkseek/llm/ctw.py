@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sparkseek.llm.bpe import _order
 from sparkseek.llm.common import Words, accumulate, fresh_path, separated, slices, strings, written
 
-DEPTH = 4
+DEPTH = 7  # by held-out code length, see README; a key has eight bytes
 BLOCK = 8 << 20
 BUCKET_BYTES = 48 << 20  # of text for each bucket
 GRAMS, WORDS, DOCS = 0, 1, 2
@@ -241,16 +241,21 @@ class Tree:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH):
         self.keys, self.depth = keys, depth
-        self.levels: dict[int, list[_Level]] = {}
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.at: dict[int, np.ndarray] = {}
         for d in range(depth, 1, -1):
             short = keys >> np.uint64(8 * (depth + 1 - d)) << np.uint64(8) | keys & _LOW
-            grams, sums = (keys, counts) if d == depth else _summed(short, counts)
-            self.at[d] = np.arange(len(keys)) if d == depth else np.searchsorted(grams, short)
-            self.levels[d] = [_Level(grams, sums, bit) for bit in range(8)]
-            if d < depth:
-                for level, children in zip(self.levels[d], self.levels[d + 1]):
-                    level.weight(children)
+            self.grams[d] = (keys, counts) if d == depth else _summed(short, counts)
+            self.at[d] = np.arange(len(keys)) if d == depth else np.searchsorted(self.grams[d][0], short)
+
+    def levels(self, bit: int) -> dict[int, _Level]:
+        """By depth; the bits don't meet, so only one bit's nodes are held at once."""
+        out: dict[int, _Level] = {}
+        for d in range(self.depth, 1, -1):
+            out[d] = _Level(*self.grams[d], bit)
+            if d < self.depth:
+                out[d].weight(out[d + 1])
+        return out
 
     def scores(self, top: Top) -> np.ndarray:
         """log10 of each key's last byte after its context."""
@@ -259,9 +264,9 @@ class Tree:
         near = (self.keys >> np.uint64(8 * self.depth)).astype(np.int64)
         for bit in range(8):
             one = (sym >> (7 - bit)) & 1
-            p, seen = None, None
+            p, seen, levels = None, None, self.levels(bit)
             for d in range(self.depth, 1, -1):
-                level = self.levels[d][bit]
+                level = levels[d]
                 of = level.of[self.at[d]]
                 n, hits = level.total[of], np.where(one == 1, level.ones[of], level.total[of] - level.ones[of])
                 kt = (hits + 0.5) / (n + 1)
@@ -280,7 +285,9 @@ def add_top(matrix: np.ndarray, keys: np.ndarray, counts: np.ndarray, depth: int
     each node (columns 0 to 255), and the counts of the next byte (columns 256 to 511)."""
     if not len(keys):
         return
-    for level in Tree(keys, counts, depth).levels[2]:
+    tree = Tree(keys, counts, depth)
+    for bit in range(8):
+        level = tree.levels(bit)[2]
         np.add.at(matrix, ((level.keys >> np.uint64(16)).astype(np.int64), (level.keys & _LOW).astype(np.int64)), level.weighted)
     np.add.at(matrix, ((keys >> np.uint64(8 * depth)).astype(np.int64), 256 + (keys & _LOW).astype(np.int64)), counts)
 

@@ -290,6 +290,54 @@ def test_context_tree_weighting(docs, data, none):
     assert score(none).count() == 0
 
 
+def test_context_tree_is_deeper_than_a_word(spark):
+    """Against brute force at the default depth, and what the contexts past the fourth byte are worth."""
+    from sparkseek.llm.ctw import DEPTH, score
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["xabcdeP", "yabcdeQ", "zabcdeR", "night"]) for _ in range(30)) for _ in range(40)]
+    learned = [t.encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert DEPTH == 7
+
+    def bits(b):
+        b = b"\0" * 7 + b + b"\xff"
+        for i in range(7, len(b)):
+            for k in range(8):
+                yield b[i - 7: i], (1 << k) | b[i] >> (8 - k), b[i] >> (7 - k) & 1
+
+    counts = collections.defaultdict(lambda: [0, 0])
+    for b in learned:
+        for context, node, bit in bits(b):
+            for k in range(8):
+                counts[context[7 - k:], node][bit] += 1
+    lg = math.lgamma
+    kt = {k: lg(a + 0.5) + lg(b + 0.5) - 2 * lg(0.5) - lg(a + b + 1) for k, (a, b) in counts.items()}
+    product, weighted = collections.defaultdict(float), {}
+    for (context, node) in sorted(counts, key=lambda k: -len(k[0])):
+        key = context, node
+        weighted[key] = kt[key] if len(context) == 7 else math.log(0.5) + np.logaddexp(kt[key], product[key])
+        product[context[1:], node] += weighted[key] if context else 0.0
+
+    def p(context, node, bit):
+        out = None
+        for k in range(7, -1, -1):
+            key = (context[7 - k:], node)
+            n = counts.get(key, [0, 0])
+            if sum(n) or not k:
+                own = (n[bit] + 0.5) / (sum(n) + 1)
+                share = 1 if out is None else math.exp(math.log(0.5) + kt[key] - weighted[key])
+                out = own if out is None else share * own + (1 - share) * out
+        return out
+
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in score(docs).collect()}
+    for i in range(12):
+        assert found[i]["score"] == pytest.approx(sum(math.log10(p(*x)) for x in bits(texts[i].encode())), rel=1e-5)
+    held = [i for i, r in found.items() if r["held_out"]]
+    shallow = {r["doc_id"]: r for r in score(docs, depth=4).collect()}
+    assert held and sum(found[i]["bits_per_byte"] for i in held) < 0.8 * sum(shallow[i]["bits_per_byte"] for i in held)
+
+
 # --- 5
 
 
