@@ -12,7 +12,7 @@ import json
 
 import numpy as np
 
-from sparkseek.llm.common import mix, separated
+from sparkseek.llm.common import grouped_order, mix, separated
 
 #: Fixed value: the pre-tokenizer's pattern that `pieces` follows.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -138,7 +138,7 @@ class Encoder:
         h, starts, size = h[real], starts[real], size[real]
         counts_before = np.searchsorted(starts, ends)  # pieces before each text's end
         if len(h):
-            order = _order(h)
+            order = grouped_order(h)
             sorted_h = h[order]
             new = np.concatenate(([True], sorted_h[1:] != sorted_h[:-1]))
             first = order[new]
@@ -169,16 +169,3 @@ class Encoder:
             self.flat = np.concatenate((self.flat, np.fromiter((x for p in self.ids for x in p), np.uint32)))
             self.ids = []
         return self.flat
-
-
-def _order(h: np.ndarray) -> np.ndarray:
-    """An order in which equal values stand together."""
-    n = len(h)
-    bits = max(1, (n - 1).bit_length())
-    if bits <= 24:  # much faster than an argsort
-        low = np.uint64((1 << bits) - 1)
-        order = (np.sort((h & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
-        s = h[order]
-        if not (((s[1:] ^ s[:-1]) <= low) & (s[1:] != s[:-1])).any():
-            return order
-    return np.argsort(h, kind="stable")

@@ -9,9 +9,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step of a Python worker handles (a longer text is a step of its own).
 STEP_BYTES = 4 << 20
+#: Shuffle partitions for each core, and how many are always allowed.
+PER_CORE, LEAST_PARTITIONS = 16, 256
 #: Used only where the session names no shared folder (tests, a single machine).
 LOCAL_SHARED = "file:///tmp/checkpoints/sparkseek"
 
@@ -92,6 +95,72 @@ def separated(data: np.ndarray, offs: np.ndarray, fill: int = 32, before: int =
     return out, starts
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `limit` bytes of the column: small batches are joined, large ones are cut."""
+    waiting, held = [], 0
+    for batch in slices(batches, column, limit):
+        size = len(strings(batch.column(batch.schema.get_field_index(column)))[0])
+        if waiting and held + size > limit:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, held = [], 0
+        waiting.append(batch)
+        held += size
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """The bytes of the column text, for numbers of partitions and buckets only."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def partitions(spark: SparkSession, wanted: int) -> int:
+    """A number of shuffle partitions: as wanted, but no more than PER_CORE for each core and LEAST_PARTITIONS at least
+    allowed; beyond that a task streams several buckets, one after the other."""
+    return max(1, min(int(wanted), max(LEAST_PARTITIONS, PER_CORE * spark.sparkContext.defaultParallelism)))
+
+
+# --- packed arrays --------------------------------------------------------------------------------------------
+
+
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays as one compressed value, the bytes of each in planes."""
+    import zstandard
+
+    arrays = tuple(np.ascontiguousarray(a) for a in arrays)
+    head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
+    kinds = "".join(a.dtype.char for a in arrays).encode()
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([head, kinds, *(a.tobytes() if a.itemsize == 1 else np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays)]))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    lens = np.frombuffer(raw, np.int64, n, 8).tolist()
+    at, out = 8 + 8 * n + n, []
+    for size, kind in zip(lens, raw[8 + 8 * n: 8 + 9 * n].decode()):
+        dtype = np.dtype(kind)
+        part = np.frombuffer(raw, np.uint8, size * dtype.itemsize, at).reshape(dtype.itemsize, size)
+        out.append(np.ascontiguousarray(part.T).view(dtype).reshape(size))
+        at += size * dtype.itemsize
+    return out
+
+
+def grouped_order(h: np.ndarray) -> np.ndarray:
+    """An order in which equal values stand together."""
+    n = len(h)
+    bits = max(1, (n - 1).bit_length())
+    if bits <= 24:  # much faster than an argsort
+        low = np.uint64((1 << bits) - 1)
+        order = (np.sort((h & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
+        s = h[order]
+        if not (((s[1:] ^ s[:-1]) <= low) & (s[1:] != s[:-1])).any():
+            return order
+    return np.argsort(h, kind="stable")
+
+
 # --- words ----------------------------------------------------------------------------------------------------
 
 _seeded = np.random.Generator(np.random.PCG64(20240607))

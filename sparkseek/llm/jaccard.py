@@ -30,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import Words, accumulate, mix, shingles, slices, strings, written
+from sparkseek.llm.common import Words, accumulate, mix, pack, shingles, slices, strings, text_bytes, unpack, written
 from sparkseek.llm.components import components
-from sparkseek.llm.ctw import _pack, _unpack, text_bytes
 
 COUNTERS = 1 << 22
 FIRST = 5
@@ -94,7 +93,7 @@ def _prefixes(k: int, num: int, den: int, counts: np.ndarray, n_buckets: int):
                     lows.append(np.full(size, s[0] >> np.uint64(32), np.uint32))
             ids = batch.column(0)
             m = np.array(members, np.int64).reshape(-1, 2)
-            out = [{"bucket": -1, "kind": 0, "n": len(m), "data": _pack(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), m[:, 0], m[:, 1])}]
+            out = [{"bucket": -1, "kind": 0, "n": len(m), "data": pack(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), m[:, 0], m[:, 1])}]
             if grams:
                 g, s, z, m = (np.concatenate(x) for x in (grams, sigs, sizes, lows))
                 of = (g % np.uint64(n_buckets)).astype(np.int32)
@@ -102,7 +101,7 @@ def _prefixes(k: int, num: int, den: int, counts: np.ndarray, n_buckets: int):
                 ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
                 for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
                     p = order[a:b]
-                    out.append({"bucket": int(of[p[0]]), "kind": 1, "n": len(p), "data": _pack(g[p], s[p], z[p], m[p])})
+                    out.append({"bucket": int(of[p[0]]), "kind": 1, "n": len(p), "data": pack(g[p], s[p], z[p], m[p])})
             yield pa.RecordBatch.from_pylist(out, _ROW)
 
     return work
@@ -111,7 +110,7 @@ def _prefixes(k: int, num: int, den: int, counts: np.ndarray, n_buckets: int):
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(3).to_pylist():
-            ids, known, sig, n = _unpack(data)
+            ids, known, sig, n = unpack(data)
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(sig), pa.array(n)], names=["doc_id", "sig", "n"])
 
 
@@ -133,7 +132,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], merge) -> Iterator[tuple[int, tu
                 if now is not None:
                     yield now, merge(parts)
                 now, parts, held, kept = bucket, [], 0, 0
-            parts.append(tuple(_unpack(data)))
+            parts.append(tuple(unpack(data)))
             held += len(parts[-1][0])
             if held > max(1 << 21, kept):
                 parts = [merge(parts)]
@@ -156,7 +155,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once[first] = True
         keep &= once[of]
         if keep.any():
-            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "kind": 2, "n": int(keep.sum()), "data": _pack(of[keep], s[keep], z[keep], m[keep])}], _ROW)
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "kind": 2, "n": int(keep.sum()), "data": pack(of[keep], s[keep], z[keep], m[keep])}], _ROW)
 
 
 def _near(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -179,14 +178,14 @@ def _pair_rows(a, b, na, nb, low, n_groups: int) -> Iterator[dict]:
     ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
     for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()):
         p = order[i:j]
-        yield {"bucket": int(of[p[0]]), "kind": 3, "n": len(p), "data": _pack(a[p], b[p], na[p], nb[p])}
+        yield {"bucket": int(of[p[0]]), "kind": 3, "n": len(p), "data": pack(a[p], b[p], na[p], nb[p])}
 
 
 def _stars(num: int, den: int, n_groups: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(3).to_pylist():
-                of, s, z, m = _unpack(data)
+                of, s, z, m = unpack(data)
                 # the centre of a list is its class that is in most lists of the bucket
                 _, inverse, often = np.unique(s, return_inverse=True, return_counts=True)
                 order = np.lexsort((s, -often[inverse], of))
@@ -204,7 +203,7 @@ def _stars(num: int, den: int, n_groups: int):
 def _flat_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
-            of, s, z, m = _unpack(data)
+            of, s, z, m = unpack(data)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), bucket, np.int32)), pa.array(of), pa.array(s), pa.array(z.astype(np.int64)), pa.array(m.astype(np.int64))], names=["bucket", "list", "sig", "n", "low"])
 
 
@@ -271,13 +270,13 @@ def _merged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return tuple(c[keep].astype(np.int64) for c in cols)
 
     for group, cols in _grouped(batches, merge):
-        yield pa.RecordBatch.from_pylist([{"bucket": group, "kind": 3, "n": len(cols[0]), "data": _pack(*cols)}], _ROW)
+        yield pa.RecordBatch.from_pylist([{"bucket": group, "kind": 3, "n": len(cols[0]), "data": pack(*cols)}], _ROW)
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for group, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
-            a, b, _, _ = _unpack(data)
+            a, b, _, _ = unpack(data)
             sig = np.unique(np.concatenate((a, b)))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), group, np.int32)), pa.array(sig)], names=["bucket", "sig"])
 
@@ -346,13 +345,13 @@ def _survivors(num: int, den: int):
                 if sig is not None:
                     held[sig] = np.frombuffer(data, np.uint32)
                     continue
-                a, b, na, nb = _unpack(data)
+                a, b, na, nb = unpack(data)
                 size = {x: len(v) for x, v in held.items()}
                 differ = np.array([size[x] for x in a.tolist()], np.int64) + np.array([size[x] for x in b.tolist()], np.int64) - 2 * _overlaps(a, b, held)
                 # den * i >= num * u and i + u = na + nb bound u - i, the number of differing n-grams
                 ok = differ * (den + num) <= (na + nb) * (den - num)
                 if ok.any():
-                    yield pa.RecordBatch.from_pylist([{"bucket": group, "kind": 3, "n": int(ok.sum()), "data": _pack(a[ok], b[ok], na[ok], nb[ok])}], _ROW)
+                    yield pa.RecordBatch.from_pylist([{"bucket": group, "kind": 3, "n": int(ok.sum()), "data": pack(a[ok], b[ok], na[ok], nb[ok])}], _ROW)
 
     return work
 
@@ -367,9 +366,9 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sig is not None:
                 held[sig] = np.frombuffer(data, np.uint64)
                 continue
-            a, b, _, _ = _unpack(data)
+            a, b, _, _ = unpack(data)
             out = _overlaps(a, b, held).astype(np.uint32)
-            yield pa.RecordBatch.from_pylist([{"bucket": group, "kind": 4, "n": len(out), "data": _pack(out)}], _ROW)
+            yield pa.RecordBatch.from_pylist([{"bucket": group, "kind": 4, "n": len(out), "data": pack(out)}], _ROW)
 
 
 def _linked(num: int, den: int):
@@ -387,10 +386,10 @@ def _linked(num: int, den: int):
                 if kind == 3:
                     if pairs is not None:
                         yield links(pairs, total)
-                    pairs = _unpack(data)
+                    pairs = unpack(data)
                     total = np.zeros(len(pairs[0]), np.int64)
                 else:
-                    total += _unpack(data)[0]
+                    total += unpack(data)[0]
         if pairs is not None:
             yield links(pairs, total)
 

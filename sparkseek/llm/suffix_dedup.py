@@ -38,9 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.bpe import _order
-from sparkseek.llm.common import fresh_path, mix, separated, slices, strings, written
-from sparkseek.llm.ctw import _pack, _unpack, text_bytes
+from sparkseek.llm.common import fresh_path, grouped_order, mix, pack, separated, slices, strings, text_bytes, unpack, written
 
 LENGTH = 50
 ANCHOR = 20
@@ -113,7 +111,7 @@ class Block:
     def distinct(self, n_buckets: int) -> tuple[np.ndarray, ...]:
         """The distinct anchors by (bucket, hash): bucket, hash in the bucket, whether several documents of the block have
         it; and for every place the number of its anchor."""
-        order = _order(self.hash)
+        order = grouped_order(self.hash)
         s = self.hash[order]
         new = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
@@ -156,8 +154,8 @@ def _blocks(n_buckets: int, length: int, anchor: int, block_bytes: int):
             known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
             ids = ids.fill_null(LAST_ID).to_numpy()
             bucket, small, several, _ = Block(ids, data, offs, length, anchor).distinct(n_buckets)
-            rows = [{"kind": ANCHORS, "bucket": k, "block": name, "data": _pack(np.diff(small[a:b], prepend=np.uint32(0)), several[a:b].astype(np.uint8))} for k, a, b in _cuts(bucket)]
-            rows.append({"kind": DOCS, "bucket": -1, "block": name, "data": _pack(ids, known, offs, data.copy(), level=PACKED)})
+            rows = [{"kind": ANCHORS, "bucket": k, "block": name, "data": pack(np.diff(small[a:b], prepend=np.uint32(0)), several[a:b].astype(np.uint8))} for k, a, b in _cuts(bucket)]
+            rows.append({"kind": DOCS, "bucket": -1, "block": name, "data": pack(ids, known, offs, data.copy(), level=PACKED)})
             yield pa.RecordBatch.from_pylist(rows, _FIELDS)
 
     return work
@@ -185,7 +183,7 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield done(now, held)
                 now, held = bucket, []
-            steps, several = _unpack(data)
+            steps, several = unpack(data)
             held.append((block, np.cumsum(steps, dtype=np.uint32), several))
     if held:
         yield done(now, held)
@@ -228,7 +226,7 @@ def _opened(batches: Iterator[pa.RecordBatch], length: int, anchor: int):
             if kind != DOCS:
                 held[kind][bucket] = data
                 continue
-            ids, known, offs, text = _unpack(data)
+            ids, known, offs, text = unpack(data)
             yield name, Block(ids, text, offs, length, anchor), known == 0, held
 
 
@@ -239,7 +237,7 @@ def _send(n_buckets: int, length: int, anchor: int):
             rows = []
             for k, a, b in _cuts(c.bucket[c.first]):
                 part = c.first[a:b]
-                rows.append({"kind": ANCHORS, "bucket": k, "block": name, "data": _pack(c.ids[part], c.pieces[part].ravel())})
+                rows.append({"kind": ANCHORS, "bucket": k, "block": name, "data": pack(c.ids[part], c.pieces[part].ravel())})
             yield pa.RecordBatch.from_pylist(rows, _FIELDS)
 
     return work
@@ -305,7 +303,7 @@ def _answer(length: int, anchor: int):
         def done() -> pa.RecordBatch:
             bits, at, rows = columns.repeats(length), 0, []
             for name, n in blocks:
-                rows.append({"kind": ANSWERS, "bucket": now, "block": name, "data": _pack(bits[at: at + n])})
+                rows.append({"kind": ANSWERS, "bucket": now, "block": name, "data": pack(bits[at: at + n])})
                 at += n
             folder.cleanup()
             return pa.RecordBatch.from_pylist(rows, _FIELDS)
@@ -318,7 +316,7 @@ def _answer(length: int, anchor: int):
                             yield done()
                         now, folder, blocks = bucket, tempfile.TemporaryDirectory(), []
                         columns = Columns(folder.name, width)
-                    ids, pieces = _unpack(data)
+                    ids, pieces = unpack(data)
                     columns.add(ids, pieces.reshape(len(ids), width))
                     blocks.append((name, len(ids)))
             if columns is not None:
@@ -340,7 +338,7 @@ def _remove(n_buckets: int, length: int, anchor: int, with_text: bool):
             n, offsets = len(block.buf), length - anchor + 1
             bits = np.zeros(len(c.first), np.uint64)
             for k, a, b in _cuts(c.bucket[c.first]):
-                bits[a:b] = _unpack(held[ANSWERS][k])[0]
+                bits[a:b] = unpack(held[ANSWERS][k])[0]
             mask = bits[c.number]
             # a document behind the smallest one of its block with the very same piece has all its strings from there
             mask = np.where(c.ids > c.ids[c.first][c.number], np.uint64((1 << offsets) - 1), mask) if len(mask) else mask
