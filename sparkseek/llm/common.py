@@ -55,6 +55,11 @@ def arrow_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def make_dir(uri: str) -> None:
+    fs, at = arrow_fs(uri)
+    fs.create_dir(at, recursive=True)
+
+
 # --- Arrow access ---------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,8 @@ The score is log10 of the product; the code length is in bits per byte, the end
 Execution. Documents are packed into blocks of BLOCK bytes; a block lists its distinct strings of DEPTH + 1 bytes and its
 distinct words, with their training counts, once each. The lists go to buckets (strings by the three bytes before, words
 by hash), which sum them, build their part of the trees and answer every block's list in its own order; then each block
-scores its documents. All steps are numpy on packed rows: a bucket sums its lists as they stream by and holds only its
+scores its documents. A block's texts are one file of the shared folder, which counts only if the written lists name it, so
+they are stored once and never shuffled. All steps are numpy on packed rows: a bucket sums its lists as they stream by and holds only its
 distinct keys; a block holds its own texts. Nothing is sent to the driver but three totals and the contexts of two bytes
 (65,536 x 255 nodes at most, whatever the input), from which those of one byte and of none follow. Because every block's
 list is used, what is gathered grows with the input. Answers are sent as 32-bit floats and summed as 64-bit ones.
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import Words, blocks_of, fresh_path, grouped_order, pack, partitions, separated, strings, text_bytes, unpack, written
+from sparkseek.llm.common import Words, arrow_fs, blocks_of, fresh_path, grouped_order, make_dir, pack, partitions, separated, strings, text_bytes, unpack, written
 
 DEPTH = 7  # by held-out code length, see README; a key has eight bytes
 BLOCK = 32 << 20
-STEP = 4 << 20  # bytes whose strings are sorted at once
+STEP = 2 << 20  # bytes whose strings are sorted at once
 BUCKET_BYTES = 16 << 20  # of text for each bucket
 GRAMS, WORDS, DOCS = 0, 1, 2
 END_WORD = np.uint64(1)
@@ -80,19 +81,23 @@ def _steps(offs: np.ndarray, limit: int = STEP) -> Iterator[tuple[int, int]]:
 
 def grams(data: np.ndarray, offs: np.ndarray, learn: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct keys, ascending, and how often training texts hold each."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    waiting, held = [], 0
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
     steps = list(_steps(offs))
     for i, j in steps:
         found = places(data[offs[i]: offs[j]], offs[i: j + 1] - offs[i], depth)
         trained = np.repeat(learn[i:j], np.diff(offs[i: j + 1]) + 1)
         waiting.append(distinct(found[trained]))
-        other = distinct(found[~trained])[0]
-        waiting.append((other, np.zeros(len(other), np.int64)))
-        held += len(waiting[-1][0]) + len(waiting[-2][0])
-        if held > max(1 << 20, len(keys)) or j == steps[-1][1]:
-            keys, counts = _summed(np.concatenate([keys, *(w[0] for w in waiting)]), np.concatenate([counts, *(w[1] for w in waiting)]))
-            waiting, held = [], 0
+        waiting.append((distinct(found[~trained])[0], np.zeros(0, np.int64)))
+        del found, trained
+        if sum(len(w[0]) for w in waiting) > max(1 << 20, len(keys)) or j == steps[-1][1]:
+            waiting.append((keys, counts))
+            keys = distinct(np.concatenate([w[0] for w in waiting]))[0]
+            counts = np.zeros(len(keys), np.uint32)
+            for own, n in waiting:
+                if len(n):
+                    counts[np.searchsorted(keys, own)] += n.astype(np.uint32)
+            waiting = []
     return keys, counts
 
 
@@ -121,19 +126,19 @@ class Tokens:
         w = Words(data, offs)
         n = len(offs) - 1
         self.first = w.first + np.arange(n + 1)
-        self.hash = np.full(len(w) + n, END_WORD, np.uint64)
-        real = np.ones(len(self.hash), bool)
+        hashes = np.full(len(w) + n, END_WORD, np.uint64)
+        real = np.ones(len(hashes), bool)
         real[self.first[1:] - 1] = False
-        self.hash[real] = w.hash
-        order = grouped_order(self.hash)
-        s = self.hash[order]
+        hashes[real] = w.hash
+        order = grouped_order(hashes)
+        s = hashes[order]
         new = np.concatenate(([True], s[1:] != s[:-1])) if n else np.zeros(0, bool)
         keys = s[new]
         by = np.argsort(keys)  # grouped_order only puts equal values together
         rank = np.empty(len(keys), np.int64)
         rank[by] = np.arange(len(keys))
         self.keys = keys[by]
-        self.ids = np.empty(len(self.hash), np.int64)
+        self.ids = np.empty(len(order), np.int32)
         self.ids[order] = rank[np.cumsum(new) - 1]
 
 
@@ -146,7 +151,7 @@ def _word_bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int32)
 
 
-def _lister(n_grams: int, n_words: int, depth: int, block_bytes: int):
+def _lister(folder: str, n_grams: int, n_words: int, depth: int, block_bytes: int):
     def rows(kind: int, block: int, of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
         order = np.argsort(of, kind="stable")
         ends = np.flatnonzero(np.diff(of[order].astype(np.int32), append=-1)) + 1
@@ -160,7 +165,7 @@ def _lister(n_grams: int, n_words: int, depth: int, block_bytes: int):
             data, offs = strings(batch.column(2))
             learn = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
             keys, counts = grams(data, offs, learn, depth)
-            out = list(rows(GRAMS, block, _gram_bucket(keys, n_grams, depth), keys, counts.astype(np.uint32)))
+            out = list(rows(GRAMS, block, _gram_bucket(keys, n_grams, depth), keys, counts))
             del keys, counts
             trained, words = 0, []
             for i, j in _steps(offs):
@@ -172,7 +177,11 @@ def _lister(n_grams: int, n_words: int, depth: int, block_bytes: int):
             out += rows(WORDS, block, _word_bucket(keys, n_words), keys, counts.astype(np.uint32))
             ids = batch.column(0)
             known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.uint8)
-            out.append({"kind": DOCS, "bucket": 0, "block": block, "n": trained, "data": pack(ids.fill_null(0).to_numpy(), known, (~learn).astype(np.uint8), offs, data, level=3)})
+            name = f"{folder}/{block}"
+            fs, at = arrow_fs(name)
+            with fs.open_output_stream(at) as f:
+                f.write(pack(ids.fill_null(0).to_numpy(), known, (~learn).astype(np.uint8), offs, data, level=3))
+            out.append({"kind": DOCS, "bucket": 0, "block": block, "n": trained, "data": name.encode()})
             yield pa.RecordBatch.from_pylist(out, _FIELDS)
 
     return work
@@ -470,13 +479,17 @@ def _scorer(n_grams: int, n_words: int, depth: int):
     def scored(doc: list[np.ndarray], by_gram: dict[int, np.ndarray], by_word: dict[int, np.ndarray]) -> pa.RecordBatch:
         ids, known, held, offs, text = doc
         steps = [(i, j, text[offs[i]: offs[j]], offs[i: j + 1] - offs[i]) for i, j in _steps(offs)]
-        found = [ranked(places(own, part, depth)) for _, _, own, part in steps]
-        keys = distinct(np.concatenate([u for u, _ in found]))[0]
+        keys, waiting = np.zeros(0, np.uint64), []
+        for _, j, own, part in steps:  # twice over the text, so that only one step's places are held
+            waiting.append(distinct(places(own, part, depth))[0])
+            if sum(map(len, waiting)) > max(1 << 20, len(keys)) or j == len(ids):
+                keys, waiting = distinct(np.concatenate([keys, *waiting]))[0], []
         logp = spread(by_gram, _gram_bucket(keys, n_grams, depth))
         score, n_tokens, n_known, log_counts = (np.zeros(len(ids), t) for t in (float, np.int64, np.int64, float))
-        for (i, j, _, part), (u, rank) in zip(steps, found):
-            score[i:j] = np.add.reduceat(logp[np.searchsorted(keys, u)][rank], part[:-1] + np.arange(j - i), dtype=float)
-        del keys, logp, found
+        for i, j, own, part in steps:
+            own_keys, rank = ranked(places(own, part, depth))
+            score[i:j] = np.add.reduceat(logp[np.searchsorted(keys, own_keys)][rank], part[:-1] + np.arange(j - i), dtype=float)
+        del keys, logp
         words = [Tokens(own, part) for _, _, own, part in steps]
         every = distinct(np.concatenate([t.keys for t in words]))[0]
         count = spread(by_word, _word_bucket(every, n_words))
@@ -495,7 +508,11 @@ def _scorer(n_grams: int, n_words: int, depth: int):
                 if kind != DOCS:
                     got[kind][bucket] = unpack(data)[0]
                     continue
-                yield scored(unpack(data), *got)
+                fs, at = arrow_fs(data.decode())
+                with fs.open_input_stream(at) as f:
+                    doc = unpack(f.read())
+                yield scored(doc, *got)
+                got = ({}, {})
 
     return work
 
@@ -510,8 +527,9 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = max(16, text_bytes(docs) // BUCKET_BYTES)
     n_grams, n_words = n, max(16, n // 4)
     parts = partitions(spark, n_grams + n_words)
-    path = fresh_path(spark, "ctw-lists")
-    docs.mapInArrow(_lister(n_grams, n_words, depth, block_bytes), FIELDS).write.option("compression", "none").partitionBy("kind").parquet(path)
+    path, folder = fresh_path(spark, "ctw-lists"), fresh_path(spark, "ctw-texts")
+    make_dir(folder)
+    docs.mapInArrow(_lister(folder, n_grams, n_words, depth, block_bytes), FIELDS).write.option("compression", "none").partitionBy("kind").parquet(path)
     lists = spark.read.schema(FIELDS).parquet(path).select("kind", "bucket", "block", "n", "data")
     by_bucket = lists.where(F.col("kind") != DOCS)
     n_train = lists.where(F.col("kind") == DOCS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"))
