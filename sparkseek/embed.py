@@ -18,6 +18,9 @@ class Embedder:
         return fail("EMBEDDING", "this embedder makes no dense vectors")
 
     def sparse(self, texts: Sequence[str], model: str | None) -> list[Sparse | None]:
+        """The language's own encoder; other models are for overrides."""
+        if model and model.lower() != "default":
+            fail("EMBEDDING-SPARSE-MODEL", f"the sparse model {model} is not known to this embedder")
         out = []
         for text in texts:
             indices, values = query_vector(text)

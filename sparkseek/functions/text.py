@@ -52,6 +52,20 @@ def document_vector(text: str, k1: float = BM25_K1, b: float = BM25_B, average:
     return _vector({i: n * (k1 + 1) / (n + norm) for i, n in counts.items()})
 
 
+def word_runs(text: Column) -> Column:
+    """`tokens` of a text column, by the JVM."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_\p{IsAlphabetic}]{2,}|[\p{IsAlphabetic}&&[^\x00-\x7F]]|c"), F.lit(0))
+
+
+def document_weight(times: Column, size: Column, weights: str) -> Column:
+    """The weight of a word that occurs `times` times among `size`, as the vectors have it."""
+    if weights == "bm25":
+        out = times * (BM25_K1 + 1) / (times + BM25_K1 * (1 - BM25_B + BM25_B * size / BM25_AVERAGE))
+    else:
+        out = F.lit(1.0) + F.log(times)
+    return out.cast("float").cast("double")
+
+
 def sparse_column(text: Column, weights: str = "query") -> Column:
     """The sparse vector of a text column, Arrow batches at a time; null for a text without tokens."""
     encode = document_vector if weights == "bm25" else query_vector

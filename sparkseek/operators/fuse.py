@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -43,50 +44,53 @@ def dbsf(candidates: DataFrame) -> DataFrame:
     return rows.withColumn("__part", part).groupBy("__id").agg(F.sum("__part").alias("__score"))
 
 
-def group_hits(rows: DataFrame, key: Column, many: bool, order: list[Column], size: int, limit: int, offset: int) -> DataFrame:
+def group_hits(r: Any, key: Column, many: bool, size: int, limit: int, offset: int) -> DataFrame:
     """The best `size` rows of each group, for the groups ordered by their best row, `limit` of them behind `offset`;
-    with __group, __group_rank and __rank. Rows without the key are in no group; a list's row is in several."""
-    keyed = rows.withColumn("__group", F.explode(F.array_distinct(key)) if many else key).where("__group is not null")
-    ranked = keyed.withColumn("__rank", F.row_number().over(Window.partitionBy("__group").orderBy(*order))).where(F.col("__rank") <= size)
-    heads = ranked.where("__rank = 1").orderBy(*order, "__group").limit(offset + limit)  # a row a group, at most LIMIT + OFFSET
-    place = F.row_number().over(Window.orderBy(*order, "__group"))
-    chosen = heads.withColumn("__group_rank", place - offset).where("__group_rank > 0").select(F.col("__group").alias("__chosen"), "__group_rank")
-    return ranked.join(small(chosen, limit), F.col("__group") == F.col("__chosen")).drop("__chosen")
-
-
-def mmr(candidates: DataFrame, vector: str, relevance: str, diversity: float, distance: str) -> DataFrame:
-    """Candidates (CANDIDATES rows at most, so one task holds them) in greedy order: (1 - d) relevance - d max likeness to
-    those taken; `__rank` from 1."""
+    with __group, __group_rank and __rank. Rows without the key are in no group; a list's row is in several. The rows are
+    dealt by group once; a group is then one row with its hits, `size` at most."""
+    keyed = r.rows.withColumn("__group", F.explode(F.array_distinct(key)) if many else key).where("__group is not null")
+    ranked = r.valid(keyed.withColumn("__rank", F.row_number().over(Window.partitionBy("__group").orderBy(*r.order))).where(F.col("__rank") <= size))
+    sorted_by = [c for c in ("__score", "__key", "__order", "__id") if c in ranked.columns]
+    hits = F.struct(*(F.col(f"`{c}`") for c in ranked.columns if c != "__group"))
+    groups = ranked.groupBy("__group").agg(F.collect_list(hits).alias("__hits"), F.min_by(F.struct(*sorted_by), "__rank").alias("__head"))
+    heads = groups.select("__group", "__hits", "__head.*").orderBy(*r.order, "__group").limit(offset + limit)  # a row a group, at most LIMIT + OFFSET
+    place = F.row_number().over(Window.orderBy(*r.order, "__group"))
+    chosen = heads.withColumn("__group_rank", place - offset).where("__group_rank > 0")
+    return chosen.select("__group", "__group_rank", F.inline("__hits"))
+
+
+def mmr(candidates: DataFrame, vector: str, relevance: str, diversity: float, distance: str, wanted: int) -> DataFrame:
+    """The first `wanted` of the candidates (CANDIDATES rows at most, so one task holds them) in greedy order:
+    (1 - d) relevance - d max likeness to those taken; `__rank` from 1. Each step compares all with the one taken last, so
+    memory is that of the vectors."""
     schema = T.StructType([*candidates.schema.fields, T.StructField("__rank", T.IntegerType())])
 
     def matrix(frame: pd.DataFrame) -> np.ndarray:
         cells = frame[vector]
         if cells.map(lambda x: isinstance(x, dict) or hasattr(x, "asDict")).any():
-            rows = [dict(zip(x["indices"], x["values"])) for x in cells]
-            columns = {i: k for k, i in enumerate(sorted({i for r in rows for i in r}))}
-            x = np.zeros((len(rows), len(columns)))
-            for r, row in enumerate(rows):
-                for i, value in row.items():
-                    x[r, columns[i]] = value
-        else:
-            x = np.array([np.asarray(c, float) for c in cells])
+            columns = {i: k for k, i in enumerate(sorted({i for x in cells for i in x["indices"]}))}
+            out = np.zeros((len(cells), len(columns)))
+            for r, x in enumerate(cells):
+                out[r, [columns[i] for i in x["indices"]]] = x["values"]
+            return out
+        out = np.array([np.asarray(c, float) for c in cells])
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-30) if distance == "COSINE" else out
+
+    def like(x: np.ndarray, one: np.ndarray) -> np.ndarray:
         if distance in ("EUCLID", "MANHATTAN"):
-            norm = 2 if distance == "EUCLID" else 1
-            return -np.linalg.norm(x[:, None] - x[None], norm, axis=2)
-        if distance == "COSINE":
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-        return x @ x.T
+            return -np.linalg.norm(x - one, 2 if distance == "EUCLID" else 1, axis=1)
+        return x @ one
 
     def greedy(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.reset_index(drop=True)
-        like, gain = matrix(frame), frame[relevance].to_numpy(float)
-        left, nearest, order = list(range(len(frame))), np.full(len(frame), -np.inf), []
-        while left:
-            value = (1 - diversity) * gain[left] - (diversity * nearest[left] if order else 0.0)
-            best = left[int(np.argmax(value))]  # ties: the earlier one, candidates come in the order of rank
+        x, gain = matrix(frame), (1 - diversity) * frame[relevance].to_numpy(float)
+        left, nearest, order = np.ones(len(frame), bool), np.full(len(frame), -np.inf), []
+        while len(order) < min(wanted, len(frame)):
+            value = np.where(left, gain - (diversity * nearest if order else 0.0), -np.inf)
+            best = int(np.argmax(value))  # ties: the earlier one, candidates come in the order of rank
             order.append(best)
-            left.remove(best)
-            nearest = np.maximum(nearest, like[best])
+            left[best] = False
+            nearest = np.maximum(nearest, like(x, x[best]))
         out = frame.iloc[order].copy()
         out["__rank"] = np.arange(1, len(out) + 1, dtype=np.int32)
         return out

@@ -13,6 +13,7 @@ from sparkseek import nodes as n
 from sparkseek.embed import Embedder
 from sparkseek.errors import fail
 from sparkseek.functions.filters import compile_filter
+from sparkseek.operators.fuse import small
 from sparkseek.plans.query import Planner
 from sparkseek.plans.resolve import only, role
 from sparkseek.semantics import DENSE, DENSE_SIZE, IMAGE, IMAGE_FIELDS, IMPLICIT_FIELDS, MULTI, MULTI_SIZE, SPARSE, TEXT_FIELDS
@@ -88,6 +89,23 @@ def _specs(c: Collection, u: n.Upsert) -> list[tuple[str, n.Embedding, str | Non
     return out
 
 
+def _joint(c: Collection, specs: list, embedder: Embedder, done: dict, texts: tuple[str, ...], model: str | None, kind: str) -> list | None:
+    """The vectors of one kind from a single pass of a model that makes dense, sparse and multi-vectors together, if the
+    embedder has one and the same model is asked for all three of the same field."""
+    if type(embedder).joint is Embedder.joint or kind == "image":
+        return None
+    parts: dict[str, VectorDef] = {}
+    for name, e, m in specs:
+        if m == model and e.kind != "image":
+            d = c.vectors[name]
+            parts.setdefault("multi" if d.kind == "multi" and e.kind == "multi" else "sparse" if d.kind == "sparse" else "dense", d)
+    if set(parts) != {"dense", "sparse", "multi"}:
+        return None
+    if (texts, model) not in done:
+        done[texts, model] = dict(zip(("dense", "sparse", "multi"), embedder.joint(list(texts), model, parts["dense"].size or DENSE_SIZE, parts["multi"].size or MULTI_SIZE)))
+    return done[texts, model][kind]
+
+
 def embedded(c: Collection, u: n.Upsert, embedder: Embedder) -> list[dict[str, Any]]:
     """For each point its vectors by name, as values of their columns."""
     out: list[dict[str, Any]] = []
@@ -103,7 +121,8 @@ def embedded(c: Collection, u: n.Upsert, embedder: Embedder) -> list[dict[str, A
             if found[name] is None:
                 fail("VECTOR-KIND", f"{name} is {c.vectors[name].kind}")
         out.append(found)
-    for name, e, model in _specs(c, u):
+    specs, joint = _specs(c, u), {}
+    for name, e, model in specs:
         d = c.vectors[name]
         image = e.kind == "image"
         texts = [_text(p, e.field, IMAGE_FIELDS if image else TEXT_FIELDS) for p in u.points]
@@ -114,13 +133,15 @@ def embedded(c: Collection, u: n.Upsert, embedder: Embedder) -> list[dict[str, A
             else:
                 fail("EMBEDDING", f"a point has no field to embed into {name}")
         given = [texts[i] for i in todo]
-        if d.kind == "sparse":
-            made: list[Any] = embedder.sparse(given, model)
-        elif image:
+        kind = "image" if image else "sparse" if d.kind == "sparse" else "multi" if e.kind == "multi" and d.kind == "multi" else "dense"
+        made = _joint(c, specs, embedder, joint, tuple(given), model, kind)
+        if made is None and kind == "sparse":
+            made = embedder.sparse(given, model)
+        elif made is None and kind == "image":
             made = embedder.image(given, model, d.size or DENSE_SIZE)
-        elif e.kind == "multi" and d.kind == "multi":
+        elif made is None and kind == "multi":
             made = embedder.multi(given, model, d.size or MULTI_SIZE)
-        else:
+        elif made is None:
             made = embedder.dense(given, model, d.size or DENSE_SIZE)
         if len(made) != len(given):
             fail("EMBEDDING-MULTI" if d.kind == "multi" else "EMBEDDING-IMAGE" if image else "EMBEDDING", "the embedder returned another number of vectors")
@@ -166,19 +187,18 @@ def upsert(catalog: Catalog, embedder: Embedder, u: n.Upsert) -> int:
     last = {(type(p.id), p.id): i for i, p in enumerate(u.points)}
     chosen = sorted(last.values())
     spark = catalog.spark
-    fields = [f for f in c.schema if f.name.startswith("__v_")]
-    raw = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("payload", T.StringType()), T.StructField("shard", T.StringType()), *fields])
-    rows = [(i, json.dumps({k: _plain(v) for k, v in u.points[i].payload}), u.shard, *(vectors[i].get(f.name[4:]) for f in fields)) for i in chosen]
-    new = spark.createDataFrame(rows, raw)
-    ids = F.lit(None)
-    for i in chosen:
-        ids = F.when(F.col("i") == i, c.id_literal(u.points[i].id)).otherwise(ids)
-    new = new.withColumn("__id", ids.cast(c.schema["__id"].dataType))
+    ids = [c.id_value(u.points[i].id) for i in chosen]
+    if any(v is None for v in ids):
+        fail("VALIDATION-POINT-ID", f"ids of {c.name} are of another kind")
     if c.typed:
         for i in chosen:
             _typed_payload(c, dict(u.points[i].payload))
-            if len(rows) and c.schema["__id"].dataType != ID_TYPE and isinstance(u.points[i].id, str) != isinstance(c.schema["__id"].dataType, T.StringType):
-                fail("VALIDATION-POINT-ID", f"ids of {c.name} are of another kind")
+    _stored(catalog, c)
+    fields = [f for f in c.schema if f.name.startswith("__v_")]
+    raw = T.StructType([c.schema["__id"], T.StructField("payload", T.StringType()), T.StructField("shard", T.StringType()), *fields])
+    rows = [(v, json.dumps({k: _plain(x) for k, x in u.points[i].payload}), u.shard, *(vectors[i].get(f.name[4:]) for f in fields)) for v, i in zip(ids, chosen)]
+    new = spark.createDataFrame(rows, raw)
+    if c.typed:
         typed = T.StructType([f for f in c.schema if not f.name.startswith("__")])
         new = new.withColumn("p", F.from_json("payload", typed)).select("*", *(F.col(f"p.`{f.name}`") for f in typed))
     else:
@@ -186,10 +206,9 @@ def upsert(catalog: Catalog, embedder: Embedder, u: n.Upsert) -> int:
     if "__shard" in c.rows.columns:
         new = new.withColumn("__shard", F.col("shard"))
     new = new.select(*(F.col(f"`{x}`") for x in c.rows.columns))
-    _stored(catalog, c)
-    wanted = tuple(u.points[i].id for i in chosen)
+    wanted = spark.createDataFrame([(v,) for v in ids], T.StructType([c.schema["__id"]]))
     buckets = catalog.buckets_of(c, wanted)
-    kept = catalog.part(c, buckets).where(c.id_not_in(wanted))
+    kept = catalog.part(c, buckets).join(small(wanted, len(ids)), "__id", "left_anti").select(*(F.col(f"`{x}`") for x in c.rows.columns))
     catalog.store(c, kept.unionByName(new), buckets)
     return len(chosen)
 
@@ -197,7 +216,7 @@ def upsert(catalog: Catalog, embedder: Embedder, u: n.Upsert) -> int:
 def _change(catalog: Catalog, c: Collection, where: Any, shard: str | None, change) -> None:
     """Rewrites the buckets that the filter can reach: `change` takes rows and the condition."""
     _stored(catalog, c)
-    buckets = catalog.buckets_of(c, where.ids) if isinstance(where, n.IdIn) else sorted(c.manifest)
+    buckets = catalog.buckets_of(c, catalog.ids(c, where.ids)) if isinstance(where, n.IdIn) else sorted(c.manifest)
     rows = catalog.part(c, buckets)
     hit = F.coalesce(compile_filter(where, c.scope()), F.lit(False))
     if shard is not None:

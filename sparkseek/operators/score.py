@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -9,24 +11,55 @@ from pyspark.sql import functions as F
 
 from sparkseek import nodes as n
 from sparkseek.functions import vectors as v
-from sparkseek.sources.catalog import VectorDef
+from sparkseek.functions.text import document_weight, token_index, tokens, word_runs
+from sparkseek.sources.catalog import Collection, VectorDef
 
 
 def column(name: str) -> Column:
     return F.col(f"`__v_{name}`")
 
 
-def idf_weighted(rows: DataFrame, name: str, q: n.Sparse) -> n.Sparse:
-    """The query's weights times ln(1 + (N - n + 0.5) / (n + 0.5)); one row a query term is counted."""
+def _weight(total: int, seen: int) -> float:
+    return math.log(1 + (total - seen + 0.5) / (seen + 0.5))
+
+
+def _seen(c: Collection, name: str, terms: Sequence[Any], rows: DataFrame, holds: Callable[[Any], Column]) -> tuple[int, dict[Any, int]]:
+    """The number of points and of those that hold each term, in one aggregate; kept until the collection changes."""
+    kept = c.counts.setdefault((id(c.rows), name), {})
+    missing = [t for t in dict.fromkeys(terms) if t not in kept]
+    if missing or None not in kept:
+        found = rows.agg(F.count(F.lit(1)), *(F.count_if(holds(t)) for t in missing)).first()
+        kept[None] = found[0]
+        kept.update(zip(missing, found[1:]))
+    return kept[None], kept
+
+
+def idf_weighted(c: Collection, name: str, q: n.Sparse) -> n.Sparse:
+    """The query's weights times ln(1 + (N - n + 0.5) / (n + 0.5))."""
     if not q.indices:
         return q
-    total = rows.count()
-    found = rows.select(F.explode(column(name)["indices"]).alias("i")).where(F.col("i").isin(*q.indices)).groupBy("i").count().collect()
-    seen = {r["i"]: r["count"] for r in found}
-    import math
-
-    weight = lambda i: math.log(1 + (total - seen.get(i, 0) + 0.5) / (seen.get(i, 0) + 0.5))
-    return n.Sparse(q.indices, tuple(x * weight(i) for i, x in zip(q.indices, q.values)))
+    total, seen = _seen(c, name, q.indices, c.rows, lambda i: F.array_contains(column(name)["indices"], F.lit(i).cast("long")))
+    return n.Sparse(q.indices, tuple(x * _weight(total, seen[i]) for i, x in zip(q.indices, q.values)))
+
+
+def text_similarity(c: Collection, rows: DataFrame, name: str, d: VectorDef, q: n.Sparse, asked: str) -> tuple[DataFrame, Column]:
+    """The sparse score of a text column against a text: only the query's own words are counted, by the JVM; the vectors
+    themselves are not made."""
+    words = {token_index(t): t for t in tokens(asked)}
+    own = sorted(set(words.values()))
+    counted = lambda df: df.withColumn("__words", word_runs(F.col(f"`__t_{name}`"))).withColumn("__hits", F.struct(F.size("__words").alias("size"), F.filter("__words", lambda t: t.isin(own)).alias("own")))
+    if not own:
+        return rows, F.lit(None).cast("double")
+    weights = dict(zip(q.indices, q.values))
+    if d.idf:
+        total, seen = _seen(c, name, list(words), counted(c.rows), lambda i: F.array_contains("__hits.own", words[i]))
+        weights = {i: w * _weight(total, seen[i]) for i, w in weights.items()}
+    times_of = lambda word: F.size(F.filter("__hits.own", lambda t: t == word)).cast("double")
+    score = F.lit(0.0)
+    for i, w in sorted(weights.items()):
+        times = times_of(words[i])
+        score = score + F.lit(w) * F.when(times > 0, document_weight(times, F.col("__hits.size"), d.encoding)).otherwise(0.0)
+    return counted(rows), F.when(F.size("__hits.own") > 0, score)
 
 
 def similarity(name: str, d: VectorDef, q: Any) -> Column:

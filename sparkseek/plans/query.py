@@ -34,6 +34,15 @@ class Ranked:
     order: list[Column]
     descending: bool = True
     scored: bool = True
+    worst: float | None = None
+
+    def valid(self, rows: DataFrame) -> DataFrame:
+        """Without those that have no score or one past the threshold. They are last in the order, so this is asked of
+        rows that are cut already: asked before, the score would be computed in the filter and again in the projection."""
+        if not self.scored:
+            return rows
+        rows = rows.where(F.col("__score").isNotNull())
+        return rows if self.worst is None else rows.where(F.col("__score") >= self.worst if self.descending else F.col("__score") <= self.worst)
 
 
 class Planner:
@@ -56,7 +65,7 @@ class Planner:
 
     def page(self, ranked: Ranked, limit: int | None, offset: int | None) -> DataFrame:
         rows = ranked.rows.orderBy(*ranked.order)
-        return (rows.offset(offset) if offset else rows).limit(DEFAULT_LIMIT if limit is None else limit)
+        return ranked.valid((rows.offset(offset) if offset else rows).limit(DEFAULT_LIMIT if limit is None else limit))
 
     # --- rows
 
@@ -69,8 +78,8 @@ class Planner:
         return rows if where is None else rows.where(compile_filter(where, c.scope()))
 
     def by_score(self, rows: DataFrame, value: Column, descending: bool = True) -> Ranked:
-        rows = rows.withColumn("__score", value.cast("double")).where(F.col("__score").isNotNull() & ~F.isnan("__score"))
-        return Ranked(rows, [F.col("__score").desc() if descending else F.col("__score").asc(), F.col("__id").asc()], descending)
+        rows = rows.withColumn("__score", F.nanvl(value.cast("double"), F.lit(None).cast("double")))
+        return Ranked(rows, [F.col("__score").desc_nulls_last() if descending else F.col("__score").asc_nulls_last(), F.col("__id").asc()], descending)
 
     def without(self, rows: DataFrame, c: Collection, inputs: list[n.Input], lookup: Any = None) -> DataFrame:
         """Points that a query names by id are no hits of it."""
@@ -140,7 +149,9 @@ class Planner:
     def threshold(self, r: Ranked, q: n.Query) -> Ranked:
         if q.threshold is None:
             return r
-        return dataclasses.replace(r, rows=r.rows.where(F.col("__score") >= q.threshold if r.descending else F.col("__score") <= q.threshold))
+        if isinstance(q.expr, n.Mmr):  # not in the order of scores
+            return dataclasses.replace(r, rows=r.rows.where(F.col("__score") >= q.threshold if r.descending else F.col("__score") <= q.threshold))
+        return dataclasses.replace(r, worst=q.threshold)
 
     def ordered(self, c: Collection, rows: DataFrame, e: n.OrderBy) -> Ranked:
         scope = c.scope()
@@ -161,7 +172,10 @@ class Planner:
         at = None if lookup is None else (lookup[0], lookup[1] or name)
         get = lambda i: resolve.vector_of(i, c, name, self.embedder, at)
         inputs = resolve.inputs_of(e)
-        rows = self.without(rows, c, inputs, lookup).where(score.column(name).isNotNull())
+        rows = self.without(rows, c, inputs, lookup)
+        if isinstance(e, n.Nearest) and isinstance(e.input, n.Text) and d.encoding is not None and type(self.embedder).sparse is Embedder.sparse:
+            return self.by_score(*score.text_similarity(c, rows, name, d, get(e.input), e.input.text))
+        rows = rows.where(score.column(name).isNotNull())
         if isinstance(e, n.Recommend):
             return self.recommend(c, rows, e, name, d, at)
         if isinstance(e, n.Context):
@@ -174,14 +188,14 @@ class Planner:
             fail("VECTOR-KIND", "RERANK takes a dense vector")
         v = get(e.input)
         if d.kind == "sparse" and d.idf:
-            v = score.idf_weighted(c.rows, f"{name}", v)
+            v = score.idf_weighted(c, name, v)
         if isinstance(e, n.Mmr):
             if d.kind == "multi":
                 fail("VECTOR-KIND", "MMR takes one vector a point")
             near = self.by_score(rows, score.similarity(name, d, v), d.descending)
-            top = near.rows.orderBy(*near.order).limit(e.candidates)
+            top = near.valid(near.rows.orderBy(*near.order).limit(e.candidates))
             top = top.withColumn("__gain", F.col("__score") if d.descending else -F.col("__score"))
-            out = fuse.mmr(top.select("__id", "__score", "__gain", score.column(name).alias("__vector")), "__vector", "__gain", e.diversity, "DOT" if d.kind == "sparse" else d.distance)
+            out = fuse.mmr(top.select("__id", "__score", "__gain", score.column(name).alias("__vector")), "__vector", "__gain", e.diversity, "DOT" if d.kind == "sparse" else d.distance, e.candidates if q.group or q.threshold is not None else (DEFAULT_LIMIT if q.limit is None else q.limit) + (q.offset or 0))
             full = rows.join(fuse.small(out.select("__id", "__score", F.col("__rank").alias("__order")), e.candidates), "__id")
             return Ranked(full, [F.col("__order"), F.col("__id")], d.descending)
         return self.by_score(rows, score.similarity(name, d, v), d.descending)
@@ -235,7 +249,7 @@ class Planner:
             one, several = scope.text(q.group.field), F.try_variant_get(F.col(PAYLOAD), f"$.{q.group.field}", "array<string>")
             key, many = F.coalesce(several, F.array(one)), True
         limit = GROUP_LIMIT if q.limit is None else q.limit
-        rows = fuse.group_hits(r.rows, key, many, r.order, q.group.size or GROUP_SIZE, limit, q.offset or 0)
+        rows = fuse.group_hits(r, key, many, q.group.size or GROUP_SIZE, limit, q.offset or 0)
         extra = [F.col("__group").alias("group_id"), F.col("__group_rank").alias("group_rank"), F.col("__rank").alias("rank")]
         if q.group.lookup:
             other = self.catalog.get(q.group.lookup)

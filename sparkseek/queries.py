@@ -6,6 +6,7 @@ Every query runs over its whole tables; LIMIT is part of what is asked. Scores a
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.embed import Embedder
 from sparkseek.engine import Engine
-from sparkseek.functions.text import sparse_column, tokens
+from sparkseek.functions.text import tokens
 from sparkseek.inject import inject_filter
 from sparkseek.parser import parse_one
 from sparkseek.semantics import BM25_AVERAGE, BM25_B, BM25_K1, DBSF_SIGMAS, EARTH_RADIUS_M, RRF_K
@@ -54,8 +55,8 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     halves = _read(spark, sf_dir, "embeddings").withColumn("half", F.when(k % 2 == 0, F.col("embedding")))
     e.register("halves", halves, "vec_id", {"embedding": VectorDef(size=64), "half": VectorDef(size=64)}, payload=["label"])
     docs = _read(spark, sf_dir, "documents")
-    texts = docs.withColumn("bm25", sparse_column(F.col("text"), "bm25")).withColumn("idf", F.col("bm25"))
-    e.register("documents", texts, "doc_id", {"bm25": VectorDef("sparse", distance="DOT"), "idf": VectorDef("sparse", distance="DOT", idf=True)}, payload=["lang", "source", "n_chars", "text"])
+    encoded = {k: VectorDef("sparse", distance="DOT", idf=k == "idf", column="text", encoding="bm25") for k in ("bm25", "idf")}
+    e.register("documents", docs, "doc_id", encoded, payload=["lang", "source", "n_chars", "text"])
     line = _read(spark, sf_dir, "lineitem").withColumn("line_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     e.register("lineitem", line, "line_id")
     return e
@@ -125,7 +126,17 @@ seek("nearest_offset", f"QUERY POINT 7 {FROM} LIMIT 10 OFFSET 15", _top(C7, "vec
 seek("nearest_params", f"QUERY POINT 7 {FROM} PARAMS (hnsw_ef = 64, exact = false, quantization = {{rescore: true}}) LIMIT 10", _top(C7, "vec_id <> 7"))
 seek("nearest_lookup_from", "WITH a AS (QUERY POINT 7 USING embedding LIMIT 10) QUERY FUSION RRF FROM embeddings PREFETCH (a LOOKUP FROM halves VECTOR embedding) LIMIT 10", f"SELECT id, label, round(1.0 / ({RRF_K} + r), 6) AS score FROM {_ids(C7, 'true', 10)} JOIN (SELECT vec_id AS id, label FROM embeddings) USING (id)")
 seek("multi_maxsim", "QUERY POINT 7 FROM embeddings USING parts AS MULTI LIMIT 10", _top(" + ".join(f"greatest({', '.join(_dot(f'embedding[{16 * j + 1}:{16 * j + 16}]', f'q7[{16 * i + 1}:{16 * i + 16}]') for j in range(4))})" for i in range(4)), "vec_id <> 7"))
-seek("mmr", f"QUERY MMR POINT 7 DIVERSITY 0.5 CANDIDATES 50 {FROM} LIMIT 10", None)
+_MMR = f"""
+    WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_scored(C7, "vec_id <> 7")}) JOIN (SELECT vec_id AS id, embedding AS own FROM embeddings) USING (id) ORDER BY r LIMIT 50),
+    p AS (SELECT a.id AS i, b.id AS j, {_cos("a.own", "b.own")} AS likeness FROM c a JOIN c b ON a.id <> b.id),
+    m AS (SELECT 1 AS step, [id] AS taken FROM c WHERE r = 1
+          UNION ALL
+          SELECT step + 1, list_append(taken, arg_max(id, value)) FROM (
+              SELECT m.step, m.taken, c.id, 0.5 * c.score - 0.5 * max(p.likeness) AS value
+              FROM m JOIN c ON NOT list_contains(m.taken, c.id) JOIN p ON p.i = c.id AND list_contains(m.taken, p.j) WHERE m.step < 10 GROUP BY m.step, m.taken, c.id, c.score)
+          GROUP BY step, taken)
+    SELECT id, label, round(score, 6) AS score FROM c WHERE list_contains((SELECT taken FROM m ORDER BY step DESC LIMIT 1), id)"""
+seek("mmr", f"QUERY MMR POINT 7 DIVERSITY 0.5 CANDIDATES 50 {FROM} LIMIT 10", _MMR)
 seek("mmr_none", f"QUERY MMR POINT 7 DIVERSITY 0.0 CANDIDATES 50 {FROM} LIMIT 10", _top(C7, "vec_id <> 7"))
 
 # --- sparse ---------------------------------------------------------------------------------------------------
@@ -214,9 +225,9 @@ def _hybrid(method: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _read(spark, sf_dir, "documents")
         numbers = F.array(*(x.cast("float") for x in (F.col("n_chars") % 7, F.col("doc_id") % 11, F.col("doc_id") % 13, F.lit(1))))
-        both = docs.withColumn("dense", numbers).withColumn("sparse", sparse_column(F.col("text"), "bm25"))
+        both = docs.withColumn("dense", numbers)
         e = Engine(spark, _Numbers())
-        e.register("both", both, "doc_id", {"dense": VectorDef(size=4), "sparse": VectorDef("sparse", idf=True)}, payload=["lang"])
+        e.register("both", both, "doc_id", {"dense": VectorDef(size=4), "sparse": VectorDef("sparse", idf=True, column="text", encoding="bm25")}, payload=["lang"])
         return _rounded(e.query(f"QUERY TEXT '{TEXT_QUERY}' FROM both USING HYBRID FUSION {method} WHERE lang = 'en' LIMIT 10"))
 
     return run
@@ -300,17 +311,17 @@ seek("sample", "QUERY SAMPLE RANDOM FROM customer WHERE c_acctbal > 0 LIMIT 30",
 
 
 def counted(name: str, collection: str, where: str, sql: str, table: str | None = None) -> None:
-    """A filter by the ids that it keeps: their number and sum."""
+    """A filter by what it keeps: how many points, and the sum of the ids on the first page of 100."""
     key = {"lineitem": "l_orderkey * 10 + l_linenumber", "documents": "doc_id", "shaped": "vec_id", "halves": "vec_id"}.get(collection, IDS.get(collection, "vec_id"))
-    text = f"QUERY ORDER BY id_ FROM {collection} WHERE {where}"
-
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = engine(spark, sf_dir)
-        rows = e.planner.base(e.collection(collection), parse_one(text).where, None)
-        return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("__id").cast("long").alias("ids"))
+        n = e.query(f"COUNT FROM {collection} WHERE {where}").select(F.col("count").alias("n"))
+        ids = e.query(f"SCROLL FROM {collection} WHERE {where} LIMIT 100").agg(F.sum("id").cast("long").alias("ids"))
+        return n.join(F.broadcast(ids))  # one row each
 
     QUERIES[f"filter_{name}"] = run
-    ORACLE[f"filter_{name}"] = f"SELECT count(*) AS n, sum({key})::BIGINT AS ids FROM {table or collection} WHERE {sql}"
+    rows = f"SELECT {key} AS id FROM {table or collection} WHERE {sql}"
+    ORACLE[f"filter_{name}"] = f"SELECT (SELECT count(*) FROM ({rows})) AS n, (SELECT sum(id)::BIGINT FROM (SELECT id FROM ({rows}) ORDER BY id LIMIT 100)) AS ids"
 
 
 E_ = "embeddings"
@@ -371,6 +382,32 @@ def _supplier_sql(rows: str) -> str:
 
 
 changed("upsert_then_count", "UPSERT INTO supplier VALUES {id: 3, s_name: 'new', s_nationkey: 1, s_acctbal: 10.5}, {id: 900000001, s_name: 'other', s_acctbal: 1.25}, {id: 900000001, s_name: 'last', s_acctbal: 2.25}", _supplier, _supplier_sql("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey <> 3 UNION ALL VALUES (3, 'new', 10.5), (900000001, 'last', 2.25)"))
+def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One statement with 20,000 points, half of them over stored ones."""
+    e = engine(spark, sf_dir)
+    points = ", ".join(f"{{id: {i}, s_name: 'p{i}', s_nationkey: {i % 25}, s_acctbal: {i % 1000}.25}}" for i in range(50, 20_050))
+    report = e.execute(f"UPSERT INTO supplier VALUES {points}")
+    if not report.ok:
+        raise report.results[-1].error
+    return _supplier(e)
+
+
+QUERIES["upsert_large"] = _large
+ORACLE["upsert_large"] = _supplier_sql("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey NOT BETWEEN 50 AND 20049 UNION ALL SELECT i, 'p' || i, i % 1000 + 0.25 FROM range(50, 20050) t(i)")
+
+
+def _restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second engine at the path of the first answers for what that one stored."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kept-{uuid.uuid4().hex}"
+    first = Engine(spark, path=path)
+    first.register("supplier", _read(spark, sf_dir, "supplier"), "s_suppkey")
+    if not first.execute("UPSERT INTO supplier VALUES {id: 3, s_name: 'new', s_nationkey: 1, s_acctbal: 10.5}; DELETE FROM supplier WHERE s_nationkey = 4").ok:
+        raise RuntimeError("the changes failed")
+    return _supplier(Engine(spark, path=path))
+
+
+QUERIES["upsert_after_restart"] = _restarted
+ORACLE["upsert_after_restart"] = _supplier_sql("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey <> 3 AND s_nationkey <> 4 UNION ALL VALUES (3, 'new', 10.5)")
 changed("delete_then_count", "DELETE FROM supplier WHERE s_acctbal < 0.0; DELETE FROM supplier WHERE id IN (1, 2)", _supplier, _supplier_sql("SELECT * FROM supplier WHERE NOT s_acctbal < 0 AND s_suppkey NOT IN (1, 2)"))
 changed("update_payload", "UPDATE supplier SET PAYLOAD = {s_acctbal: 5.5, s_name: 'same'} WHERE s_nationkey = 3", _supplier, _supplier_sql("SELECT s_suppkey, s_name, CASE WHEN s_nationkey = 3 THEN 5.5 ELSE s_acctbal END AS s_acctbal FROM supplier"))
 changed("clear_payload", "CLEAR PAYLOAD FROM supplier WHERE s_nationkey IN (1, 2, 3)", _supplier, _supplier_sql("SELECT s_suppkey, CASE WHEN s_nationkey NOT IN (1, 2, 3) THEN s_name END AS s_name, CASE WHEN s_nationkey NOT IN (1, 2, 3) THEN s_acctbal END AS s_acctbal FROM supplier"))

@@ -15,5 +15,5 @@ IMAGE = "image"
 TEXT_FIELDS = ("text", "body", "content", "title", "description", "name", "summary", "document")
 IMAGE_FIELDS = ("image", "image_path", "image_url", "photo", "picture", "img", "path", "url")
 IMPLICIT_FIELDS = TEXT_FIELDS[:3]  # those that alone make an upsert embed without being asked to
-BUCKETS = 16  # files of a stored collection; a change by id rewrites only its buckets
+LEAST_BUCKETS, BUCKET_BYTES = 16, 512 << 20  # of a stored collection; a change by id rewrites only its buckets
 BROADCAST_ROWS = 100_000  # sides that LIMITs bound by more than this are joined by a shuffle
