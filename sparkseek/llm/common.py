@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +24,39 @@ LOCAL_SHARED = "file:///tmp/checkpoints/sparkseek"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
-    return LOCAL_SHARED
+    """Folder that the driver and all executors see: spark.checkpoint.dir, else what setCheckpointDir was given, else, on a
+    single machine only, a local folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+        found = LOCAL_SHARED
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+#: What this session has written and not removed.
+_MADE: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that nothing reads any more: what follows from them is written."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that operators of this session have left in the shared folder, archives and token tables included. For
+    callers, once they have stored the results: these are lazy and read the tables."""
+    removed(spark, *list(_MADE))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +64,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of `written`."""
+    for t in tables:
+        removed(t.sparkSession, t.written_path)
 
 
 def arrow_fs(uri: str):
@@ -241,6 +272,7 @@ def shingles(words: Words, k: int) -> Iterator[np.ndarray]:
 
 # --- sums of matrices -----------------------------------------------------------------------------------------
 
+TASKS = 4  # for each core
 _CHUNK = pa.schema([("chunk", pa.int32()), ("data", pa.binary())])
 
 
@@ -248,20 +280,25 @@ def accumulate(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None
     """The sum over all rows of what `add` adds to an n_rows x n_cols matrix, on the driver.
 
     Its size is fixed by the two numbers, whatever the input: each task keeps one such matrix and sends it as compressed
-    chunks of rows; the chunks are summed as they stream by, and only the sums go to the driver.
+    chunks of rows. There are TASKS a core at most, each with many input splits, so what is sent follows the cluster and
+    not the input; chunks are summed in groups of tasks and then over the groups, as they stream by, and only the sums go
+    to the driver.
     """
     import zlib
 
     size = max(1, -(-n_rows // 64))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, cores * TASKS // 256)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = np.zeros((n_rows, n_cols), dtype)
         for batch in slices(batches, column):
             add(matrix, batch)
+        group = TaskContext.get().partitionId() % groups
         for i in range(0, n_rows, size):
             part = matrix[i: i + size]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"chunk": [i // size], "data": [zlib.compress(part.tobytes(), 1)]}, _CHUNK)
+                yield pa.RecordBatch.from_pydict({"chunk": [i // size * groups + group], "data": [zlib.compress(part.tobytes(), 1)]}, _CHUNK)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -273,9 +310,11 @@ def accumulate(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None
             yield pa.RecordBatch.from_pydict({"chunk": [chunk], "data": [zlib.compress(part.tobytes(), 1)]}, _CHUNK)
 
     fields = "chunk int, data binary"
-    n = min(64, max(1, rows.sparkSession.sparkContext.defaultParallelism * 2))
+    sums = rows.coalesce(TASKS * cores).mapInArrow(work, fields).repartition(min(64 * groups, max(1, cores * 2)), "chunk").mapInArrow(total, fields)
+    if groups > 1:
+        sums = sums.withColumn("chunk", F.floor(F.col("chunk") / groups).cast("int")).repartition(min(64, cores * 2), "chunk").mapInArrow(total, fields)
     out = np.zeros((n_rows, n_cols), dtype)
-    for r in rows.mapInArrow(work, fields).repartition(n, "chunk").mapInArrow(total, fields).collect():
+    for r in sums.collect():
         part = np.frombuffer(zlib.decompress(r["data"]), dtype).reshape(-1, n_cols)
         out[r["chunk"] * size: r["chunk"] * size + len(part)] += part
     return out
