@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import written
+from sparkseek.llm.common import drop, written
 
 MOST_ROUNDS = 60
 
@@ -41,7 +41,8 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not before[0]:
             break
-        now = written(_small_star(_large_star(now)), "links")
+        former, now = now, written(_small_star(_large_star(now)), "links")
+        drop(former)
         after = _state(now)
         if after == before:
             break

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Sets. A document's set is its distinct k-word shingles (64-bit hashes). Documents with equal sets form a class, named by
-a 64-bit signature; all that follows works on classes, so copies are never paired.
+64 bits of a 128-bit signature; all that follows works on classes, so copies are never paired. Should two signatures share
+their name, which the written members show, their classes get other names and the first pass is done again.
 
 Order. The global n-gram order is by frequency, then hash. Frequencies are counted over all documents in COUNTERS hashed
 counters (a fixed size); any order gives the same result, a good one puts common n-grams last.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import Words, accumulate, mix, pack, shingles, slices, strings, text_bytes, unpack, written
+from sparkseek.llm.common import Words, accumulate, drop, mix, pack, partitions, shingles, slices, strings, text_bytes, unpack, written
 from sparkseek.llm.components import components
 
 COUNTERS = 1 << 22
@@ -38,8 +39,10 @@ FIRST = 5
 FRAGMENTS = 4
 BUCKET_BYTES = 48 << 20  # of text for each bucket
 GROUP_PAIRS = 1 << 15
+PAIRS = 1 << 20  # that wait in a task
 STAR = 2000  # leaves of a centre in one group
 BROADCAST_CLASSES = 200_000
+BROADCAST_ENTRIES = 2_000_000  # of 4 bytes
 
 _ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 ROW = "bucket int, kind int, n long, data binary"
@@ -49,8 +52,13 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(42)).astype(np.int64)
 
 
-def signature(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def signature(s: np.ndarray, taken: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """The name of a set's class, and the rest of its signature. `taken`: names that several signatures share."""
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    name, rest = (int.from_bytes(digest[i: i + 8], "little", signed=True) for i in (0, 8))
+    if name in taken:
+        name = int.from_bytes(hashlib.blake2b(digest, digest_size=8, person=b"again").digest(), "little", signed=True)
+    return name, rest
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -70,7 +78,7 @@ def ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, counts[_slot(s)]))]
 
 
-def _prefixes(k: int, num: int, den: int, counts: np.ndarray, n_buckets: int):
+def _prefixes(k: int, num: int, den: int, counts: np.ndarray, n_buckets: int, taken: frozenset[int]):
     """One row for each document (kind 0: n is its set's size, data its id and signature), and for each bucket the
     prefixes' n-grams with signature and size (kind 1)."""
 
@@ -78,8 +86,8 @@ def _prefixes(k: int, num: int, den: int, counts: np.ndarray, n_buckets: int):
         for batch in slices(batches, "text", 8 << 20):
             members, grams, sigs, sizes, lows, seen = [], [], [], [], [], set()
             for s in _sets(batch, k):
-                sig = signature(s) if len(s) else 0
-                members.append((sig, len(s)))
+                sig, rest = signature(s, taken) if len(s) else (0, 0)
+                members.append((sig, len(s), rest))
                 if len(s) and sig not in seen:
                     seen.add(sig)
                     n = len(s)
@@ -92,8 +100,8 @@ def _prefixes(k: int, num: int, den: int, counts: np.ndarray, n_buckets: int):
                     sizes.append(np.full(size, n, np.uint32))
                     lows.append(np.full(size, s[0] >> np.uint64(32), np.uint32))
             ids = batch.column(0)
-            m = np.array(members, np.int64).reshape(-1, 2)
-            out = [{"bucket": -1, "kind": 0, "n": len(m), "data": pack(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), m[:, 0], m[:, 1])}]
+            m = np.array(members, np.int64).reshape(-1, 3)
+            out = [{"bucket": -1, "kind": 0, "n": len(m), "data": pack(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), m[:, 0], m[:, 1], m[:, 2])}]
             if grams:
                 g, s, z, m = (np.concatenate(x) for x in (grams, sigs, sizes, lows))
                 of = (g % np.uint64(n_buckets)).astype(np.int32)
@@ -110,8 +118,8 @@ def _prefixes(k: int, num: int, den: int, counts: np.ndarray, n_buckets: int):
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(3).to_pylist():
-            ids, known, sig, n = unpack(data)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(sig), pa.array(n)], names=["doc_id", "sig", "n"])
+            ids, known, sig, n, rest = unpack(data)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(sig), pa.array(n), pa.array(rest)], names=["doc_id", "sig", "n", "rest"])
 
 
 def _distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -200,65 +208,89 @@ def _stars(num: int, den: int, n_groups: int):
     return work
 
 
+TILE = 4096  # classes of a list on one side of a task's pairs
+
+
 def _flat_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, list, sig, n, low; side: which TILE of its list a class is in, by size; sides: how many tiles there are."""
     for batch in batches:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
             of, s, z, m = unpack(data)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), bucket, np.int32)), pa.array(of), pa.array(s), pa.array(z.astype(np.int64)), pa.array(m.astype(np.int64))], names=["bucket", "list", "sig", "n", "low"])
+            order = np.lexsort((s, z, of))
+            of, s, z, m = of[order], s[order], z[order], m[order]
+            begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            size = np.diff(np.append(begin, len(of)))
+            side = (np.arange(len(of)) - np.repeat(begin, size)) // TILE
+            columns = (np.full(len(of), bucket, np.int32), of, s, z.astype(np.int64), m.astype(np.int64), side.astype(np.int32), np.repeat(-(-size // TILE), size).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "list", "sig", "n", "low", "side", "sides"])
 
 
 def _cross(num: int, den: int, n_groups: int):
-    """Rows (bucket, list, sig, n, low, component) in this order: the pairs of a list that no component joins yet."""
+    """Rows (bucket, list, a, b, sig, n, low, component, side), those of a list's tile (a, b) together: the pairs of a class
+    of side a with one of side b that no component joins yet. Pairs leave as they are made, PAIRS at a time."""
 
-    def pairs(s: np.ndarray, z: np.ndarray, m: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def pairs(s: np.ndarray, z: np.ndarray, m: np.ndarray, c: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         order = np.lexsort((s, z))  # by size, so that those near enough in size stand together
-        s, z, m, c = s[order], z[order], m[order], c[order]
+        s, z, m, c, side = s[order], z[order], m[order], c[order], side[order]
         last = np.searchsorted(z, z * den // num, "right")
+        one = side[0] == side[-1] and (side == side[0]).all()
         for i in range(len(s) - 1):
             j = np.arange(i + 1, last[i])
-            j = j[c[j] != c[i]]
+            j = j[(c[j] != c[i]) & (one | (side[j] != side[i]))]
             if len(j):
                 yield np.full(len(j), s[i]), s[j], np.full(len(j), z[i]), z[j], np.full(len(j), m[i])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, lists, done, waiting, held = None, [], set(), [], 0
-
-        def finish() -> Iterator[tuple[np.ndarray, ...]]:
-            s, z, m, c = (np.concatenate(x) for x in zip(*lists))
-            if (c != c[0]).any():
-                key = hashlib.blake2b(np.sort(s).tobytes(), digest_size=16).digest()
-                if key not in done:
-                    done.add(key)
-                    yield from pairs(s, z, m, c)
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_pylist(list(_pair_rows(*(np.concatenate(x) for x in zip(*waiting)), n_groups)), _ROW)
+        now, tile, done, waiting, held = None, [], set(), [], 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(list(_pair_rows(*(np.concatenate(x) for x in zip(*waiting)), n_groups)), _ROW)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, held
+            s, z, m, c, side = (np.concatenate(x) for x in zip(*tile))
+            if len(s) < 2 or not (c != c[0]).any():
+                return
+            key = hashlib.blake2b(np.sort(s).tobytes(), digest_size=16).digest()  # lists of equal classes are needed once
+            if key in done:
+                return
+            done.add(key)
+            for p in pairs(s, z, m, c, side):
+                waiting.append(p)
+                held += len(p[0])
+                if held > PAIRS:
+                    yield rows()
+                    waiting, held = [], 0
 
         for batch in batches:
-            b, of, s, z, m, c = (batch.column(i).to_numpy() for i in range(6))
-            begin = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (of[1:] != of[:-1]))))
+            if not batch.num_rows:
+                continue
+            b, of, x, y, s, z, m, c, side = (batch.column(i).to_numpy() for i in range(9))
+            begin = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (of[1:] != of[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
             for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(b)]):
-                key = (int(b[i]), int(of[i]))
+                key = (int(b[i]), int(of[i]), int(x[i]), int(y[i]))
                 if key != now:
-                    if lists:
-                        for p in finish():
-                            waiting.append(p)
-                            held += len(p[0])
+                    if tile:
+                        yield from finish()
                     if now is None or key[0] != now[0]:
                         done = set()
-                    if held > 1 << 20:
-                        yield from rows()
-                        waiting, held = [], 0
-                    now, lists = key, []
-                lists.append((s[i:j], z[i:j], m[i:j], c[i:j]))
-        if lists:
-            waiting += finish()
+                    now, tile = key, []
+                tile.append((s[i:j], z[i:j], m[i:j], c[i:j], side[i:j]))
+        if tile:
+            yield from finish()
         if waiting:
-            yield from rows()
+            yield rows()
 
     return work
 
 
+def _tiles(marked: DataFrame) -> DataFrame:
+    """The classes of each list once for every tile (a, b) of it that they are in: a list of up to TILE classes has one."""
+    other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other")
+    tiled = marked.select("bucket", "list", "sig", "n", "low", "component", "side", other)
+    return tiled.select("bucket", "list", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "sig", "n", "low", "component", "side")
+
+
 def _merged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each group with its distinct pairs, in ascending order."""
 
@@ -303,12 +335,12 @@ def _segments(k: int, ahead: bool):
     return work
 
 
-def _own_text(k: int):
+def _own_text(k: int, taken: frozenset[int]):
     """Rows whose text has the wanted signature: rows with equal ids may have other texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            keep = [len(s) > 0 and signature(s) == sig for s, sig in zip(_sets(batch, k), batch.column(0).to_pylist())]
+            keep = [len(s) > 0 and signature(s, taken)[0] == sig for s, sig in zip(_sets(batch, k), batch.column(0).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return work
@@ -400,26 +432,32 @@ def _sent(pairs: DataFrame, texts: DataFrame, n_groups: int, k: int, ahead: bool
     """Segments of the classes that each group's pairs ask for, and the pairs behind them (sig null)."""
     ends = pairs.mapInArrow(_ends, "bucket int, sig long").groupBy("sig").agg(F.collect_set("bucket").alias("buckets"))
     wanted = written(ends, "jaccard-wanted")
-    few = wanted.count() <= BROADCAST_CLASSES
+    classes, entries = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("buckets")), F.lit(0))).first()
+    few = classes <= BROADCAST_CLASSES and entries <= BROADCAST_ENTRIES
     rows = texts.join(F.broadcast(wanted) if few else wanted, "sig").select("buckets", "sig", "text")
     segments = rows.mapInArrow(_segments(k, ahead), "bucket int, fragment int, sig long, data binary")
     fragments = 1 if ahead else FRAGMENTS
     asked = pairs.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"), F.lit(None).cast("long").alias("sig"), "data")
-    both = segments.unionByName(asked).repartition(n_groups * fragments, "bucket", "fragment")
+    both = segments.unionByName(asked).repartition(partitions(texts.sparkSession, n_groups * fragments), "bucket", "fragment")
     return both.sortWithinPartitions("bucket", "fragment", F.col("sig").asc_nulls_last())
 
 
 def _check(pairs: DataFrame, n_groups: int, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The links (a, b) among the pairs."""
-    pairs = written(pairs.repartition(n_groups, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged_pairs, ROW), "jaccard-pairs")
-    pairs = written(_sent(pairs, texts, n_groups, k, True).mapInArrow(_survivors(num, den), ROW), "jaccard-survivors")
-    partial = _sent(pairs, texts, n_groups, k, False).mapInArrow(_partial, ROW)
-    summed = pairs.unionByName(partial).repartition(n_groups, "bucket").sortWithinPartitions("bucket", "kind")
-    return written(summed.mapInArrow(_linked(num, den), "a long, b long"), "jaccard-links")
+    n = partitions(texts.sparkSession, n_groups)
+    pairs = written(pairs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged_pairs, ROW), "jaccard-pairs")
+    left = written(_sent(pairs, texts, n_groups, k, True).mapInArrow(_survivors(num, den), ROW), "jaccard-survivors")
+    drop(pairs)
+    partial = _sent(left, texts, n_groups, k, False).mapInArrow(_partial, ROW)
+    summed = left.unionByName(partial).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    links = written(summed.mapInArrow(_linked(num, den), "a long, b long"), "jaccard-links")
+    drop(left)
+    return links
 
 
 def _groups(pairs: DataFrame) -> int:
-    return max(12, min(1 << 15, int(pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // GROUP_PAIRS))
+    """By the pairs, without a ceiling: a group is what a task holds, and it streams several."""
+    return max(12, int(pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // GROUP_PAIRS)
 
 
 def near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -427,28 +465,44 @@ def near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: st
     id of a component is its smallest doc_id."""
     if not 0 < num <= den or k < 1:
         raise ValueError("the threshold is in (0, 1], the shingles have words")
+    spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = frequencies(docs, k)
     n = max(12, text_bytes(docs) // BUCKET_BYTES)
-    rows = written(docs.mapInArrow(_prefixes(k, num, den, counts, n), ROW), "jaccard-prefixes")
-    members = rows.where("kind = 0").mapInArrow(_members, "doc_id long, sig long, n long")
-    members = written(members, "jaccard-members")
-    lists = written(rows.where("kind = 1").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, ROW), "jaccard-lists")
-    reps = members.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-
-    flat = lists.mapInArrow(_flat_lists, "bucket int, list long, sig long, n long, low long")
+    parts = partitions(spark, n)
+    taken: frozenset[int] = frozenset()
+    while True:
+        rows = written(docs.mapInArrow(_prefixes(k, num, den, counts, n, taken), ROW), "jaccard-prefixes")
+        members = written(rows.where("kind = 0").mapInArrow(_members, "doc_id long, sig long, n long, rest long"), "jaccard-members")
+        reps = members.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        reps = written(reps, "jaccard-classes")
+        clash = frozenset(r[0] for r in reps.where("low <> high").select("sig").collect())  # n^2 / 2^65 of n classes
+        if not clash:
+            break
+        taken |= clash
+        drop(rows, members, reps)
+    reps = reps.select("sig", "doc_id")
+    lists = written(rows.where("kind = 1").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, ROW), "jaccard-lists")
+    drop(rows)
+
+    flat = lists.mapInArrow(_flat_lists, "bucket int, list long, sig long, n long, low long, side int, sides int")
     listed = written(flat.select("sig").distinct().join(reps, "sig").select("sig", F.col("doc_id").alias("rep")), "jaccard-listed")
     few = listed.count() <= BROADCAST_CLASSES
     own = docs.join(F.broadcast(listed) if few else listed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sig", "text")
-    texts = written(own.mapInArrow(_own_text(k), "sig long, text string"), "jaccard-texts")
+    texts = written(own.mapInArrow(_own_text(k, taken), "sig long, text string"), "jaccard-texts")
+    drop(listed)
 
     groups = _groups(lists)
     links = _check(lists.mapInArrow(_stars(num, den, groups), ROW), groups, texts, k, num, den)
     joined = written(components(links), "jaccard-components")
-    marked = flat.join(joined.withColumnRenamed("node", "sig"), "sig", "left").select("bucket", "list", "sig", "n", "low", F.coalesce("component", "sig").alias("component"))
-    rest = written(marked.repartition(n, "bucket").sortWithinPartitions("bucket", "list").mapInArrow(_cross(num, den, groups), ROW), "jaccard-cross")
+    drop(links)
+    marked = flat.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    tiles = _tiles(marked).repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "list", "a", "b")
+    rest = written(tiles.mapInArrow(_cross(num, den, groups), ROW), "jaccard-cross")
     more = _check(rest, groups, texts, k, num, den)
+    drop(lists, rest, texts)
     joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    drop(more)
 
     named = reps.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class", F.coalesce("component", "sig"))
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
