@@ -38,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import fresh_path, grouped_order, mix, pack, separated, slices, strings, text_bytes, unpack, written
+from sparkseek.llm.common import fresh_path, grouped_order, mix, pack, partitions, removed, separated, slices, strings, text_bytes, unpack, written
 
 LENGTH = 50
 ANCHOR = 20
 BLOCK = 4 << 20
 PACKED = 6  # zstd level of the texts, which are stored once and shuffled twice
 BUCKET_BYTES = 6 << 20  # of text for each bucket
+HOT_BLOCKS = 64  # an anchor that so many blocks hold is hot
 ANCHORS, FLAGS, ANSWERS, DOCS = range(4)
 LAST_ID = (1 << 63) - 1
 
@@ -95,7 +96,7 @@ class Block:
             size *= 2
         del grams, parts
         whole = mix(whole)
-        rank = (whole >> np.uint64(32)).astype(np.uint32)
+        rank = (whole >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # 0 is for what leaves the document
         lowest = _sliding(rank, length - anchor + 1, np.minimum)  # for every string of `length` bytes
         for s, e in zip(self.starts.tolist(), self.ends.tolist()):
             lowest[max(s, e - length + 1): e + length] = 0  # strings that leave the document
@@ -161,59 +162,87 @@ def _blocks(n_buckets: int, length: int, anchor: int, block_bytes: int):
     return work
 
 
-def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of buckets: for each block's anchors, whether several documents have them."""
+def _flag(hot_blocks: int):
+    """Rows in the order of buckets: for each block's anchors, whether several documents have them, and whether
+    `hot_blocks` blocks do."""
+
+    def member(every: np.ndarray, small: np.ndarray) -> np.ndarray:
+        return every[np.minimum(np.searchsorted(every, small), len(every) - 1)] == small if len(every) else np.zeros(len(small), bool)
 
     def done(bucket: int, held: list) -> pa.RecordBatch:
-        every = np.concatenate([h[1] for h in held])
-        s = np.sort(every)
+        s = np.sort(np.concatenate([h[1] for h in held]))
         twice = s[1:][s[1:] == s[:-1]]
+        hot = np.unique(s[hot_blocks - 1:][s[hot_blocks - 1:] == s[: len(s) - hot_blocks + 1]]) if len(s) >= hot_blocks else s[:0]
         often = np.unique(np.concatenate((twice, *(h[1][h[2] > 0] for h in held)))) if len(s) else s
-        rows = []
-        for block, small, _ in held:
-            at = np.searchsorted(often, small)
-            found = often[np.minimum(at, len(often) - 1)] == small if len(often) else np.zeros(len(small), bool)
-            rows.append({"kind": FLAGS, "bucket": bucket, "block": block, "data": np.packbits(found).tobytes()})
+        rows = [{"kind": FLAGS, "bucket": bucket, "block": block, "data": b"".join(np.packbits(member(x, small)).tobytes() for x in (often, hot))} for block, small, _ in held]
         return pa.RecordBatch.from_pylist(rows, _FIELDS)
 
-    now, held = None, []
-    for batch in batches:
-        for bucket, block, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            if bucket != now:
-                if held:
-                    yield done(now, held)
-                now, held = bucket, []
-            steps, several = unpack(data)
-            held.append((block, np.cumsum(steps, dtype=np.uint32), several))
-    if held:
-        yield done(now, held)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, block, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if bucket != now:
+                    if held:
+                        yield done(now, held)
+                    now, held = bucket, []
+                steps, several = unpack(data)
+                held.append((block, np.cumsum(steps, dtype=np.uint32), several))
+        if held:
+            yield done(now, held)
+
+    return work
 
 
 class _Chosen:
-    """The places of a block whose anchors several documents have, and its distinct pieces there, in the order of buckets."""
+    """The places of a block whose anchors several documents have, and its distinct pieces there, in the order of buckets.
+
+    A piece is sent to its anchor's bucket. One at a hot anchor is sent to two buckets of its own surroundings instead: by
+    the anchor with the bytes before it, where all its strings meet their like that begin early in the piece, and by the
+    anchor with the bytes behind it, where those do that end late. Every string does one or the other."""
 
     def __init__(self, block: Block, flags: dict[int, bytes], n_buckets: int):
         bucket, _, _, of = block.distinct(n_buckets)
-        found = np.zeros(len(bucket), bool)
+        found, hot = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
         for k, a, b in _cuts(bucket):
-            found[a:b] = np.unpackbits(np.frombuffer(flags[k], np.uint8), count=b - a).astype(bool)
+            bits = np.frombuffer(flags[k], np.uint8).reshape(2, -1)
+            found[a:b], hot[a:b] = (np.unpackbits(x, count=b - a).astype(bool) for x in bits)
         self.at = np.flatnonzero(found[of])
         self.pieces = block.pieces(self.at)
         self.ids = block.ids[block.doc[self.at]]
-        width = self.pieces.shape[1]
-        wide = -(-width // 8)
-        padded = np.zeros((len(self.at), wide * 8), np.uint8)
-        padded[:, :width] = self.pieces
-        factors = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, wide, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        key = mix((mix(padded.view(np.uint64)) * factors).sum(1, dtype=np.uint64))
-        self.bucket = bucket[of[self.at]]
-        # of equal pieces the first one has the smallest id; equal pieces have equal anchors, so equal buckets
-        order = np.lexsort((self.ids, key, self.bucket))
-        k = key[order]
-        new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
+        key = self._hash(0, self.pieces.shape[1], np.arange(len(self.at)))
+        half = block.before // 2
+        own, split = np.flatnonzero(~hot[of[self.at]]), np.flatnonzero(hot[of[self.at]])
+        near = [(self._hash(a, b, split) % np.uint64(n_buckets)).astype(np.int32) for a, b in ((block.before - half, block.length), (block.before, block.length + half))]
+        self.place = np.concatenate((own, split, split))  # of each sent piece
+        self.bucket = np.concatenate((bucket[of[self.at[own]]], *near))
+        # of equal pieces in a bucket the first one has the smallest id
+        order = np.lexsort((self.ids[self.place], key[self.place], self.bucket))
+        k, of_bucket = key[self.place][order], self.bucket[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (of_bucket[1:] != of_bucket[:-1]))) if len(k) else np.zeros(0, bool)
         self.first = order[new]
         self.number = np.empty(len(k), np.int64)
         self.number[order] = np.cumsum(new) - 1
+        self.split = len(split)
+
+    def _hash(self, a: int, b: int, rows: np.ndarray) -> np.ndarray:
+        """Of the bytes from a to b of pieces."""
+        wide = -(-(b - a) // 8)
+        padded = np.zeros((len(rows), wide * 8), np.uint8)
+        padded[:, : b - a] = self.pieces[rows, a:b]
+        factors = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, wide, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        return mix((mix(padded.view(np.uint64)) * factors).sum(1, dtype=np.uint64))
+
+    def masks(self, bits: np.ndarray, offsets: int) -> np.ndarray:
+        """For each place the offsets, as bits, of its repeated strings, from the answers to the sent pieces."""
+        got = bits[self.number]
+        ids = self.ids[self.place]
+        # a document behind the smallest one of its block with the very same piece has all its strings from there
+        got = np.where(ids > ids[self.first][self.number], np.uint64((1 << offsets) - 1), got) if len(got) else got
+        out, n = np.zeros(len(self.at), np.uint64), len(got) - 2 * self.split
+        out[self.place[:n]] = got[:n]
+        for part in (slice(n, n + self.split), slice(n + self.split, None)):
+            out[self.place[part]] |= got[part]
+        return out
 
 
 def _opened(batches: Iterator[pa.RecordBatch], length: int, anchor: int):
@@ -237,7 +266,7 @@ def _send(n_buckets: int, length: int, anchor: int):
             rows = []
             for k, a, b in _cuts(c.bucket[c.first]):
                 part = c.first[a:b]
-                rows.append({"kind": ANCHORS, "bucket": k, "block": name, "data": pack(c.ids[part], c.pieces[part].ravel())})
+                rows.append({"kind": ANCHORS, "bucket": k, "block": name, "data": pack(c.ids[c.place[part]], c.pieces[c.place[part]].ravel())})
             yield pa.RecordBatch.from_pylist(rows, _FIELDS)
 
     return work
@@ -339,9 +368,7 @@ def _remove(n_buckets: int, length: int, anchor: int, with_text: bool):
             bits = np.zeros(len(c.first), np.uint64)
             for k, a, b in _cuts(c.bucket[c.first]):
                 bits[a:b] = unpack(held[ANSWERS][k])[0]
-            mask = bits[c.number]
-            # a document behind the smallest one of its block with the very same piece has all its strings from there
-            mask = np.where(c.ids > c.ids[c.first][c.number], np.uint64((1 << offsets) - 1), mask) if len(mask) else mask
+            mask = c.masks(bits, offsets)
             place, doc = block.places[c.at], block.doc[c.at]
             begins = np.zeros(n, bool)
             for j in range(offsets):
@@ -364,7 +391,7 @@ def _remove(n_buckets: int, length: int, anchor: int, with_text: bool):
     return work
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = True, block_bytes: int = BLOCK, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the kept bytes of every document."""
     if not 2 <= anchor < length or length - anchor >= 63:
         raise ValueError("anchors are shorter than the strings, by at most 62 bytes")
@@ -372,12 +399,13 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = max(48, text_bytes(docs) // BUCKET_BYTES)  # several buckets a task, so that tasks are alike
     path = fresh_path(spark, "suffix-blocks")
-    docs.mapInArrow(_blocks(n, length, anchor, BLOCK), FIELDS).write.option("compression", "none").partitionBy("kind").parquet(path)
+    docs.mapInArrow(_blocks(n, length, anchor, block_bytes), FIELDS).write.option("compression", "none").partitionBy("kind").parquet(path)
     table = spark.read.schema(FIELDS).parquet(path).select("kind", "bucket", "block", "data")
     blocks = table.where(F.col("kind") == DOCS)
-    by_bucket = lambda df: df.repartition(n // 2, "bucket").sortWithinPartitions("bucket", "block")
-    by_block = lambda df: df.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket")
-    flags = written(by_bucket(table.where(F.col("kind") == ANCHORS)).mapInArrow(_flag, FIELDS), "suffix-flags")
+    by_bucket = lambda df: df.repartition(partitions(spark, n // 2), "bucket").sortWithinPartitions("bucket", "block")
+    by_block = lambda df: df.repartition(partitions(spark, n), "block").sortWithinPartitions("block", "kind", "bucket")
+    flags = written(by_bucket(table.where(F.col("kind") == ANCHORS)).mapInArrow(_flag(hot_blocks), FIELDS), "suffix-flags")
+    removed(spark, f"{path}/kind={ANCHORS}")
     sent = by_block(flags.unionByName(blocks)).mapInArrow(_send(n, length, anchor), FIELDS)
     answers = by_bucket(sent).mapInArrow(_answer(length, anchor), FIELDS)
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
