@@ -20,6 +20,7 @@ import heapq
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from sparkseek.llm.common import slices, strings
 ROW = 576
 TILE_ROWS = 16
 MAX_CODE = 10  # bits of the longest code that encode_grey writes
+SHORTEST = 6  # samples of a back-reference: its codes and extra bits take about those of five
+CACHE_BITS = 10
 STEP = 32 << 20
 
 # Fixed values of the format.
@@ -202,41 +205,170 @@ def _header(bits: _Bits, width: int, height: int, alpha: int) -> None:
     bits.puts([(0x2F, 8), (width - 1, 14), (height - 1, 14), (alpha, 1), (0, 3)])
 
 
-def encode_grey(samples: np.ndarray, width: int) -> bytes:
-    """Grey samples, row by row: the subtract-green transform leaves bits in the green channel only; runs become
-    back-references to the pixel before."""
-    height = len(samples) // width
-    bits = _Bits()
-    _header(bits, width, height, 0)
-    bits.puts([(1, 1), (GREEN, 2), (0, 1), (0, 1), (0, 1)])  # one transform; no colour cache; no meta prefix codes
-    # runs of at least 16 equal samples after the first one
-    change = np.flatnonzero(np.diff(samples)) + 1
-    begin, end = np.concatenate(([0], change)), np.concatenate((change, [len(samples)]))
-    runs = [(a + 1, b) for a, b in zip(begin[end - begin > 16].tolist(), end[end - begin > 16].tolist())]
-    literal = np.ones(len(samples), bool)
-    refs = []
-    for a, b in runs:
-        literal[a:b] = False
-        refs += [(p, min(4096, b - p)) for p in range(a, b, 4096)]
+#: Symbol, extra bits and their value of the length and distance codes from 1.
+_VALUES = np.array([(0, 0, 0)] + [value_code(v) for v in range(1, ROW * TILE_ROWS + 121)], np.int64)
+
+
+@lru_cache(16)
+def plane_codes(width: int) -> np.ndarray:
+    """The distance code of each distance in an image of that width."""
+    out = np.arange(ROW * TILE_ROWS + 1) + 120
+    for i, (x, y) in reversed(list(enumerate(DISTANCES))):
+        if 1 <= x + y * width < len(out):
+            out[x + y * width] = i + 1
+    return out
+
+
+def references(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of back-references, greedily. A place's match is with the last place of the same four
+    samples; where neighbours have matches at one distance, they are one match."""
+    n = len(samples)
+    if n < SHORTEST:
+        return []
+    grams = np.ndarray((n - 3,), "<u4", buffer=samples.tobytes(), strides=(1,)).astype(np.uint64)
+    order = np.sort(grams << np.uint64(20) | np.arange(n - 3, dtype=np.uint64))  # place in the low bits
+    place = (order & np.uint64(0xFFFFF)).astype(np.int64)
+    same = np.flatnonzero(order[1:] >> np.uint64(20) == order[:-1] >> np.uint64(20))
+    distance = np.zeros(n - 3, np.int64)
+    distance[place[same + 1]] = place[same + 1] - place[same]
+    begin = np.flatnonzero(np.diff(distance, prepend=-1))
+    end = np.append(begin[1:], n - 3)
+    real = np.flatnonzero((distance[begin] > 0) & (end - begin > SHORTEST - 4))
+    out, at = [], 0
+    for i, j, d in zip(begin[real].tolist(), end[real].tolist(), distance[begin[real]].tolist()):
+        i, j = max(i, at), j + 3
+        while j - i >= SHORTEST:
+            size = min(j - i, 4096)
+            out.append((i, size, d))
+            i += size
+            at = i
+    return out
+
+
+def _grey_code(bits: _Bits, green: np.ndarray, width: int, cache_bits: int = 0, alpha: int = 255) -> None:
+    """The main image of grey samples, one group of codes. Without a cache all other channels are fixed (red and blue 0);
+    with one, the pixels are grey in all channels, and a colour that was there before is named by its slot, if no other
+    colour of the image has that slot."""
+    bits.puts([(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)])
+    bits.put(0, 1)  # no meta prefix codes
+    refs = references(green)
+    literal = np.ones(len(green), bool)
+    for i, size, _ in refs:
+        literal[i: i + size] = False
     at = np.flatnonzero(literal)
-    symbols = samples[at].astype(np.int64)
-    counts = np.bincount(symbols, minlength=280)
-    refs = [(p, *value_code(n)) for p, n in refs]
-    for _, s, _, _ in refs:
-        counts[256 + s] += 1
-    lengths = code_lengths(counts, MAX_CODE)
-    codes = canonical(lengths)
-    lone = np.count_nonzero(lengths) == 1
-    bits.code(lengths)
-    for value in (0, 0, 255, 1):  # red, blue, alpha, and the distance code of the pixel before
-        bits.puts([(1, 1), (0, 1), (1, 1), (value, 8)])
-    values, sizes = codes[symbols], np.zeros(len(symbols), np.int64) if lone else lengths[symbols]
+    symbols = green[at].astype(np.int64)
+    first = symbols
+    if cache_bits:
+        shade = np.arange(256, dtype=np.int64)
+        slot = (CACHE_FACTOR * (255 << 24 | shade * 0x010101) & 0xFFFFFFFF) >> (32 - cache_bits)
+        shades, before = np.unique(green, return_index=True)
+        alone = np.bincount(slot[shades], minlength=1 << cache_bits) == 1
+        known = np.zeros(256, np.int64)
+        known[shades] = before
+        symbols = np.where((at > known[symbols]) & alone[slot[symbols]], 280 + slot[symbols], symbols)
+        first = symbols[symbols < 256]
+    where = np.searchsorted(at, [r[0] for r in refs])
+    sizes = _VALUES[[r[1] for r in refs]].reshape(-1, 3)
+    far = _VALUES[plane_codes(width)[[r[2] for r in refs]]].reshape(-1, 3)
+    counts = np.bincount(np.concatenate((symbols, 256 + sizes[:, 0])), minlength=280 + (1 << cache_bits if cache_bits else 0))
+    plain, away = code_lengths(counts, MAX_CODE), code_lengths(np.bincount(far[:, 0], minlength=40), MAX_CODE)
+    shades = code_lengths(np.bincount(first, minlength=256), MAX_CODE) if cache_bits else None
+    bits.code(plain)
+    for value in (0, 0, alpha):  # red, blue, alpha
+        if cache_bits and value != alpha:
+            bits.code(shades)
+        else:
+            bits.puts([(1, 1), (0, 1), (1, 1), (value, 8)])
+    bits.code(away)
+
+    def coded(lengths: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return canonical(lengths)[found], np.zeros(len(found), np.int64) if np.count_nonzero(lengths) == 1 else lengths[found]
+
+    values, widths = coded(plain, symbols)
+    if cache_bits:  # green, red and blue of a pixel that the cache doesn't give
+        own = symbols < 256
+        v, w = coded(shades, np.where(own, symbols, first[0] if len(first) else 0))
+        values, widths = np.stack((values, v, v), 1).ravel(), np.stack((widths, np.where(own, w, 0), np.where(own, w, 0)), 1).ravel()
+        where = where * 3
     if refs:
-        where = np.searchsorted(at, [r[0] for r in refs])
-        extra_v = [x for _, s, _, v in refs for x in (int(codes[256 + s]), v)]
-        extra_n = [x for _, s, n, _ in refs for x in (int(lengths[256 + s]), n)]
-        values, sizes = np.insert(values, np.repeat(where, 2), extra_v), np.insert(sizes, np.repeat(where, 2), extra_n)
-    bits.many(values, sizes)
+        a, b = coded(plain, 256 + sizes[:, 0]), coded(away, far[:, 0])
+        values = np.insert(values, np.repeat(where, 4), np.stack((a[0], sizes[:, 2], b[0], far[:, 2]), 1).ravel())
+        widths = np.insert(widths, np.repeat(where, 4), np.stack((a[1], sizes[:, 1], b[1], far[:, 1]), 1).ravel())
+    bits.many(values, widths)
+
+
+#: Forms of an image of grey samples.
+PLAIN, CROSSED, PREDICTED, CACHED, INDEXED = range(5)
+BLOCK_SIZE = 6  # bits of the side of a predictor's block
+SIDES = (1, 2, 3, 4, 8, 9)  # predictors that are undone a row of a block at a time
+
+
+def form_of(samples: np.ndarray) -> int:
+    """The form an image is written in, a rule on its content: a palette where it has 16 shades at most, whose indices
+    share bytes; else subtract-green for 12 images of 16 by their checksum, and a quarter in the other forms, which are
+    seldom shorter for text, so that all of them are written and read."""
+    if len(np.flatnonzero(np.bincount(samples, minlength=256))) <= 16:
+        return INDEXED
+    return {1: CROSSED, 2: PREDICTED, 3: CACHED, 4: INDEXED}.get(zlib.crc32(samples.tobytes()) & 15, PLAIN)
+
+
+def _blocks(h: int, w: int, size: int) -> tuple[int, int]:
+    return -(-h >> size), -(-w >> size)
+
+
+def _best_sides(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Modes of the blocks with the smallest residuals, and the residuals."""
+    h, w = grey.shape
+    left, top, top_right, top_left = (x[..., 0] for x in _neighbours(np.repeat(grey[..., None], 4, 2)))
+    guesses = np.stack([_predict(m, left, top, top_right, top_left) for m in SIDES])
+    guesses[:, 0, 1:], guesses[:, 1:, 0], guesses[:, 0, 0] = left[0, 1:], top[1:, 0], 0
+    rest = (grey - guesses).astype(np.uint8)
+    cost = np.abs(rest.astype(np.int8).astype(np.int64))
+    bh, bw = _blocks(h, w, BLOCK_SIZE)
+    at = (np.arange(h)[:, None] >> BLOCK_SIZE) * bw + (np.arange(w)[None, :] >> BLOCK_SIZE)
+    costs = np.stack([np.bincount(at.ravel(), c.ravel(), bh * bw) for c in cost])
+    best = costs.argmin(0)
+    return np.array(SIDES)[best].reshape(bh, bw), np.take_along_axis(rest, best[at][None], 0)[0]
+
+
+def encode_grey(samples: np.ndarray, width: int, form: int | None = None) -> bytes:
+    """Grey samples, row by row, with back-references, in the given form or in that of `form_of`."""
+    form = form_of(samples) if form is None else form
+    bits = _Bits()
+    h = len(samples) // width
+    _header(bits, width, h, 0)
+    green, coded = samples, width
+    if form == CROSSED:  # 32 / 32 of green off red and blue
+        size = 9
+        bits.puts([(1, 1), (CROSS, 2), (size - 2, 3)])
+        _image(bits, np.broadcast_to(np.array([255, 0, 32, 32], np.uint8), (*_blocks(h, width, size), 4)), 0, False, main=False)
+    elif form == PREDICTED:
+        modes, rest = _best_sides(samples.reshape(h, width))
+        bits.puts([(1, 1), (PREDICTOR, 2), (BLOCK_SIZE - 2, 3)])
+        image = np.zeros((*modes.shape, 4), np.uint8)
+        image[..., 2] = modes
+        _image(bits, image, 0, False, main=False)
+        green = rest.ravel()
+        bits.puts([(1, 1), (GREEN, 2)])
+    elif form == INDEXED:
+        shades, index = np.unique(samples, return_inverse=True)
+        bits.puts([(1, 1), (PALETTE, 2), (len(shades) - 1, 8)])
+        image = np.zeros((1, len(shades), 4), np.uint8)
+        image[0, :, 1:] = np.diff(shades, prepend=np.uint8(0))[:, None]
+        image[0, 0, 0] = 255
+        _image(bits, image, 0, False, main=False)
+        packed = 3 if len(shades) <= 2 else 2 if len(shades) <= 4 else 1 if len(shades) <= 16 else 0
+        coded = -(-width >> packed)
+        full = np.zeros((h, coded << packed), np.uint8)
+        full[:, :width] = index.reshape(h, width)
+        green = np.zeros((h, coded), np.uint8)
+        for k in range(1 << packed):
+            green |= full[:, k:: 1 << packed] << np.uint8((8 >> packed) * k)
+        green = green.ravel()
+    elif form == PLAIN:
+        bits.puts([(1, 1), (GREEN, 2)])
+    bits.put(0, 1)
+    _grey_code(bits, green, coded, CACHE_BITS if form == CACHED else 0, 0 if form == PREDICTED else 255)
     return container(bits.bytes())
 
 
@@ -629,6 +761,15 @@ def split(media: bytes) -> list[bytes]:
     return out
 
 
+_AROUND = np.array([*DISTANCES, (0, 0)], np.int64)
+
+
+def _tables(tables: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables of `table` one after another: entries, and the mask and the first entry of each."""
+    begin = np.concatenate(([0], np.cumsum([len(t[0]) for t in tables])))[:-1]
+    return np.concatenate([t[0] for t in tables]).astype(np.uint16), np.array([(1 << t[1]) - 1 for t in tables], np.uint32), begin
+
+
 def decode_greens(decoders: list[Decoder]) -> list[np.ndarray]:
     """The green channel of grey streams, all streams a symbol at a time."""
     order = sorted(range(len(decoders)), key=lambda i: -decoders[i].coded_width * decoders[i].height)
@@ -638,35 +779,48 @@ def decode_greens(decoders: list[Decoder]) -> list[np.ndarray]:
     raw = np.frombuffer(b"".join(d.reader.data for d in ds) + b"\0" * 8, np.uint8).astype(np.uint32)
     words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
     del raw
-    tables = [d.groups[0][0] for d in ds]
-    entry_at = np.concatenate(([0], np.cumsum([len(t[0]) for t in tables])))[:-1]
-    entries = np.concatenate([t[0] for t in tables]).astype(np.uint16)
-    mask = np.array([(1 << t[1]) - 1 for t in tables], np.uint32)
-    base = base[:-1]
-    bit = base * 8 + np.array([d.reader.at for d in ds])
+    green, away = (_tables([d.groups[0][k] for d in ds]) for k in (0, 4))
+    width = np.array([d.coded_width for d in ds])
+    bit = base[:-1] * 8 + np.array([d.reader.at for d in ds])
     pos = np.concatenate(([0], np.cumsum(sizes)))[:-1]
     end = pos + sizes
+    first, mask, entry_at, far_mask, far_at = pos.copy(), green[1], green[2], away[1], away[2]
     out = np.zeros(int(sizes.sum()), np.uint8)
+
+    def bits_at(where: np.ndarray) -> np.ndarray:
+        return words[where >> 3] >> (where & 7).astype(np.uint32)
+
+    def value(prefix: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of length or distance codes, their extra bits)"""
+        n = np.maximum((prefix - 2) >> 1, 0)
+        n[prefix < 4] = 0
+        extra = bits_at(where).astype(np.int64) & ((np.int64(1) << n) - 1)
+        return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + extra + 1), n
+
     while len(pos):
-        code = entries[((words[bit >> 3] >> (bit & 7).astype(np.uint32)) & mask) + entry_at]
+        code = green[0][(bits_at(bit) & mask) + entry_at]
         out[pos] = code >> 4
         bit += code & 15
         pos += 1
         if code.max() >= 256 << 4:
-            for i in np.flatnonzero(code >= 256 << 4).tolist():
-                d, k = ds[i], int(pos[i]) - 1
-                d.reader.at = int(bit[i]) - int(base[i]) * 8
-                size = d.reader.value((int(code[i]) >> 4) - 256)
-                back = copy_distance(d.reader.value(d.reader.symbol(d.groups[0][4])), d.coded_width)
-                first = int(end[i]) - d.coded_width * d.height
-                if k - back < first or k + size > end[i]:
-                    raise ValueError("a back-reference leaves the image")
-                out[k: k + size] = np.resize(out[k - back: k], size)
-                bit[i], pos[i] = int(base[i]) * 8 + d.reader.at, k + size
+            i = np.flatnonzero(code >= 256 << 4)
+            at, k = bit[i], pos[i] - 1
+            size, n = value((code[i] >> 4).astype(np.int64) - 256, at)
+            at += n
+            symbol = away[0][(bits_at(at) & far_mask[i]) + far_at[i]]
+            at += symbol & 15
+            far, n = value((symbol >> 4).astype(np.int64), at)
+            bit[i] = at + n
+            near = _AROUND[np.minimum(far, 121) - 1]
+            back = np.where(far > 120, far - 120, np.maximum(1, near[:, 0] + near[:, 1] * width[i]))
+            if (k - back < first[i]).any() or (k + size > end[i]).any():
+                raise ValueError("a back-reference leaves the image")
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(k, size) + step] = out[np.repeat(k - back, size) + step % np.repeat(back, size)]
+            pos[i] = k + size
         if (pos >= end).any():
             live = np.flatnonzero(pos < end)
-            ds = [ds[i] for i in live.tolist()]
-            bit, pos, end, mask, entry_at, base = bit[live], pos[live], end[live], mask[live], entry_at[live], base[live]
+            bit, pos, end, mask, entry_at, far_mask, far_at, first, width = (x[live] for x in (bit, pos, end, mask, entry_at, far_mask, far_at, first, width))
     begin = np.concatenate(([0], np.cumsum(sizes)))
     back_to = {i: out[begin[k]: begin[k + 1]] for k, i in enumerate(order)}
     return [back_to[i] for i in range(len(decoders))]
