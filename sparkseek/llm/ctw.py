@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from sparkseek.llm.common import Words, arrow_fs, blocks_of, fresh_path, grouped
 
 DEPTH = 7  # by held-out code length, see README; a key has eight bytes
 BLOCK = 32 << 20
-STEP = 2 << 20  # bytes whose strings are sorted at once
+STEP = 1 << 20  # bytes whose strings are sorted at once
 BUCKET_BYTES = 16 << 20  # of text for each bucket
 GRAMS, WORDS, DOCS = 0, 1, 2
 END_WORD = np.uint64(1)
@@ -70,6 +71,13 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[begin], np.diff(begin, append=len(s))
 
 
+def merged(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct keys of all parts, ascending."""
+    s = np.concatenate(parts)
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+
+
 def _steps(offs: np.ndarray, limit: int = STEP) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about `limit` bytes."""
     i, n = 0, len(offs) - 1
@@ -90,9 +98,9 @@ def grams(data: np.ndarray, offs: np.ndarray, learn: np.ndarray, depth: int = DE
         waiting.append(distinct(found[trained]))
         waiting.append((distinct(found[~trained])[0], np.zeros(0, np.int64)))
         del found, trained
-        if sum(len(w[0]) for w in waiting) > max(1 << 20, len(keys)) or j == steps[-1][1]:
+        if sum(len(w[0]) for w in waiting) > max(1 << 20, len(keys) // 2) or j == steps[-1][1]:
             waiting.append((keys, counts))
-            keys = distinct(np.concatenate([w[0] for w in waiting]))[0]
+            keys = merged([w[0] for w in waiting])
             counts = np.zeros(len(keys), np.uint32)
             for own, n in waiting:
                 if len(n):
@@ -160,8 +168,9 @@ def _lister(folder: str, n_grams: int, n_words: int, depth: int, block_bytes: in
             yield {"kind": kind, "bucket": int(of[part[0]]), "block": block, "n": 0, "data": pack(keys[part], counts[part], level=3)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for batch in blocks_of(batches, "text", block_bytes):
-            block = uuid.uuid4().int >> 65
+            block, number = TaskContext.get().partitionId() << 20 | number, number + 1
             data, offs = strings(batch.column(2))
             learn = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
             keys, counts = grams(data, offs, learn, depth)
@@ -177,7 +186,7 @@ def _lister(folder: str, n_grams: int, n_words: int, depth: int, block_bytes: in
             out += rows(WORDS, block, _word_bucket(keys, n_words), keys, counts.astype(np.uint32))
             ids = batch.column(0)
             known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.uint8)
-            name = f"{folder}/{block}"
+            name = f"{folder}/{uuid.uuid4().hex}"  # of this attempt
             fs, at = arrow_fs(name)
             with fs.open_output_stream(at) as f:
                 f.write(pack(ids.fill_null(0).to_numpy(), known, (~learn).astype(np.uint8), offs, data, level=3))
@@ -482,8 +491,8 @@ def _scorer(n_grams: int, n_words: int, depth: int):
         keys, waiting = np.zeros(0, np.uint64), []
         for _, j, own, part in steps:  # twice over the text, so that only one step's places are held
             waiting.append(distinct(places(own, part, depth))[0])
-            if sum(map(len, waiting)) > max(1 << 20, len(keys)) or j == len(ids):
-                keys, waiting = distinct(np.concatenate([keys, *waiting]))[0], []
+            if sum(map(len, waiting)) > max(1 << 20, len(keys) // 2) or j == len(ids):
+                keys, waiting = merged([keys, *waiting]), []
         logp = spread(by_gram, _gram_bucket(keys, n_grams, depth))
         score, n_tokens, n_known, log_counts = (np.zeros(len(ids), t) for t in (float, np.int64, np.int64, float))
         for i, j, own, part in steps:
@@ -491,7 +500,7 @@ def _scorer(n_grams: int, n_words: int, depth: int):
             score[i:j] = np.add.reduceat(logp[np.searchsorted(keys, own_keys)][rank], part[:-1] + np.arange(j - i), dtype=float)
         del keys, logp
         words = [Tokens(own, part) for _, _, own, part in steps]
-        every = distinct(np.concatenate([t.keys for t in words]))[0]
+        every = merged([t.keys for t in words])
         count = spread(by_word, _word_bucket(every, n_words))
         for (i, j, _, _), t in zip(steps, words):
             c = count[np.searchsorted(every, t.keys)][t.ids]
@@ -537,7 +546,10 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = written(by_bucket.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_sum_lists, FIELDS), "ctw-sums")
     near = spark.sparkContext.broadcast(_near(sums.where(F.col("kind") == GRAMS), depth))
     answers = sums.unionByName(by_bucket).repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(_answerer(near, depth), FIELDS)
-    blocks = answers.unionByName(lists.where(F.col("kind") == DOCS)).repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
+    blocks = answers.unionByName(lists.where(F.col("kind") == DOCS))
+    # a block is numbered by its task, so the blocks are dealt evenly
+    turn = F.pmod(F.shiftright("block", 20) + F.col("block").bitwiseAND(F.lit((1 << 20) - 1)) * 7919, F.lit(parts)).cast("int")
+    blocks = blocks.repartitionById(parts, turn).sortWithinPartitions("block", "kind", "bucket")
     scored = blocks.mapInArrow(_scorer(n_grams, n_words, depth), "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, log_counts double, score double")
     types = sums.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"))
     totals = n_train.join(F.broadcast(types))  # one row each
