@@ -16,6 +16,7 @@ no archive and no rows. Only the id, URL and payload columns are read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -31,6 +32,8 @@ MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
 BLOCK = 1 << 20
+SLOTS = 1 << 24  # bits of the map of repeated digests, 2 MB
+SALTS = 16
 MAGIC = b"\x1f\x8b\x08"
 
 RECORD = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, target_uri string, path string, offset long, payload binary"
@@ -90,13 +93,32 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """The manifest of the written archives: path, bytes, records."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    # only the digests that occur twice are joined back, so a payload that is alone isn't held up by the join
-    repeated = rows.where(F.length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    marked = rows.join(repeated, "digest", "left")
-    manifest = marked.select("page_id", "url", "html", "digest", "first_id").mapInArrow(_writer(fresh_path(spark, "warc"), file_bytes), "path string, bytes long, records long")
+    counted = rows.where(F.length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    repeated = written(counted.where("n > 1").drop("n"), "warc-repeated")
+    # only pages that may be repeated are shuffled: a bit map of fixed size tells those that are not
+    slots = written(_bit_map(repeated), "warc-slots")
+    bit = F.pmod(F.xxhash64("digest"), F.lit(SLOTS))
+    known = rows.withColumn("slot", bit).withColumn("page", F.floor(F.col("slot") / 32768)).join(F.broadcast(slots), "page", "left")  # SLOTS / 8 bytes
+    within = F.pmod(F.col("slot"), F.lit(32768))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce((F.length("html") >= min_revisit) & (byte % F.pow(F.lit(2), F.pmod(within, F.lit(8)) + 1) >= F.pow(F.lit(2), F.pmod(within, F.lit(8)))), F.lit(False))
+    known = known.withColumn("maybe", maybe).select("page_id", "url", "html", "digest", "maybe")
+    alone = known.where(~F.col("maybe")).select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("first_id"))
+    # a very common page is dealt over SALTS tasks
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = known.where("maybe").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    marked = again.join(salted, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", "first_id")
+    fields, folder = "path string, bytes long, records long", fresh_path(spark, "warc")
+    manifest = alone.unionByName(marked).mapInArrow(_writer(folder, file_bytes), fields)
     return written(manifest, "warc-manifest")
 
 
+def _bit_map(digests: DataFrame) -> DataFrame:
+    """The digests' slots as bits: page, and bits (4,096 bytes) of the pages that have any."""
+    slot = digests.select(F.pmod(F.xxhash64("digest"), F.lit(SLOTS)).alias("slot"))
+    return slot.select(F.floor(F.col("slot") / 32768).alias("page"), F.pmod("slot", F.lit(32768)).alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
 # --- reader ---------------------------------------------------------------------------------------------------
 
 
@@ -157,20 +179,53 @@ def members(file: _File, start: int, end: int) -> Iterator[tuple[int, bytes]]:
 
 
 def parse_record(data: bytes) -> dict:
+    """A record of any writer: header names in any case, values with or without a blank before them, over several lines.
+    Payload: what follows an HTTP header, else the whole block. Of a revisit, digest and length are those it states."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    payload = block.partition(b"\r\n\r\n")[2]
-    revisit = fields["WARC-Type"] == "revisit"
-    number = lambda key: int(fields[key]) if key in fields else None
+    fields: dict[str, str] = {}
+    last = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last is not None:
+            fields[last] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if colon:
+            last = name.strip().lower()
+            fields[last] = value.strip()
+
+    def number(key: str) -> int | None:
+        value = fields.get(key, "")
+        return int(value) if value.lstrip("-").isdecimal() else None
+
+    size = number("content-length")
+    block = rest.removesuffix(b"\r\n\r\n") if size is None else rest[:size]
+    kind = fields.get("warc-type", "").lower() or None
+    http = block.startswith(b"HTTP/") or fields.get("content-type", "").lower().startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    revisit = kind == "revisit"
     return {
-        "page_id": number("X-Page-ID"), "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"),
-        "payload_bytes": number("X-Payload-Length") if revisit else len(payload),
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest(),
-        "target_uri": fields.get("WARC-Target-URI", ""), "payload": None if revisit else payload,
+        "page_id": number("x-page-id"), "record_type": kind, "refers_to": number("x-refers-to-page-id"),
+        "payload_bytes": number("x-payload-length") if revisit else len(payload),
+        "payload_digest": _digest(fields.get("warc-payload-digest")) if revisit else hashlib.sha256(payload).hexdigest(),
+        "target_uri": fields.get("warc-target-uri", "").strip("<>"), "payload": None if revisit else payload,
     }
 
 
+def _digest(stated: str | None) -> str | None:
+    """A stated SHA-256 as bare lower-case hex (base 32 is turned into it); another algorithm's as `name:value`."""
+    if not stated:
+        return None
+    name, _, value = stated.rpartition(":")
+    if name.lower().replace("-", "") not in ("sha256", ""):
+        return f"{name.lower()}:{value}"
+    if len(value) == 64:
+        return value.lower()
+    try:
+        return base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+    except ValueError:
+        return f"{name.lower()}:{value}"
+
+
 def _reader(with_payload: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
