@@ -170,7 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
             x = pooled(batch, vectors).astype("<f4")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = sorted((r["doc_id"], r["quality"], bytes(r["x"])) for r in rows.mapInArrow(features, "doc_id long, quality int, x binary").collect())
+    one = rows.mapInArrow(features, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("row"))  # ids may repeat
+    got = sorted((r["doc_id"], r["row"]["quality"], bytes(r["row"]["x"])) for r in one.collect())
+    if len(got) > max_train:
+        raise RuntimeError("more training rows than max_train")
     x = np.frombuffer(b"".join(r[2] for r in got), "<f4").reshape(len(got), FEATURES).astype(float)
     return vectors, train(x, np.array([r[1] for r in got], int))
 
