@@ -66,7 +66,8 @@ def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     by_source = written(rates(docs, source_col, weights or {}, default_weight, epochs), "mix-rates")
     few = by_source.count() <= BROADCAST_SOURCES
     rows = docs.join(F.broadcast(by_source) if few else by_source, F.col(source_col).eqNullSafe(F.col("__mix_source")))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    digest = F.md5(F.coalesce(F.concat_ws("|", *(F.col(f"`{c}`").cast("string") for c, t in docs.dtypes if t == "string")), F.lit("")))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null|"), digest))  # rows without an id draw for themselves
     pieces = F.ceil(F.col("__mix_rate") / PIECE).cast("int")
     draw = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(pieces, F.lit(1))), lambda i: _inverse(_uniform(F.lit(str(seed)), key, i.cast("string")), F.col("__mix_rate") / F.greatest(pieces, F.lit(1)))), F.lit(0), lambda a, x: a + x)
     rows = rows.withColumn("__mix_k", F.when(F.col("__mix_rate") > 0, draw).otherwise(0)).where("__mix_k > 0")
@@ -74,6 +75,9 @@ def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), key, F.col("__mix_copy").cast("string"))), 1, 15), 16, 10).cast("long")
     copies = copies.withColumn("__mix_key", order)
     if shuffle:
-        copies = copies.repartitionByRange("__mix_key").sortWithinPartitions("__mix_key")
+        # the key is uniform on 60 bits, so its range is cut evenly; a range partitioning would draw everything twice
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cut = F.floor(F.col("__mix_key") / F.lit(float(1 << 60)) * n).cast("int")
+        copies = copies.repartitionById(n, F.least(cut, F.lit(n - 1))).sortWithinPartitions("__mix_key")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     return copies.select(*own, *(F.col(c).alias(name) for c, name in zip(("__mix_rate", "__mix_k", "__mix_copy", "__mix_key"), names)))
