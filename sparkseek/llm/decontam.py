@@ -42,6 +42,7 @@ ENOUGH = 0.8, 0.6  # shares that do whatever SPARE says, alone and with the answ
 ITEMS = 4000
 STEP, BATCH = 1 << 20, 16 << 20  # bytes of text whose windows, and whose candidates, are held at once
 WINDOWS = 1 << 15
+MEMBERS = 512  # items that one product compares
 
 
 _LETTERS = (WORDS_AND_MARKS == 1).astype(np.uint8)
@@ -232,7 +233,8 @@ class Search:
     def _candidates(self, members: list[int], size: int, v: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray, number: np.ndarray, first: np.ndarray, base: int) -> None:
         """Keeps the windows (columns of v, from a to b in document d) that are near an item."""
         v = v / np.maximum(np.sqrt(np.einsum("ij,ij->j", v, v)), np.float32(1e-9))
-        column, row = np.nonzero(self.items.vectors[members] @ v >= COSINE)
+        parts = [np.nonzero(self.items.vectors[members[k: k + MEMBERS]] @ v >= COSINE) for k in range(0, len(members), MEMBERS)]
+        column, row = np.concatenate([p[0] + k * MEMBERS for k, p in enumerate(parts)]), np.concatenate([p[1] for p in parts])
         if not len(row):
             return
         margin = size // 3 + 1
