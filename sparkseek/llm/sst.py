@@ -1,6 +1,7 @@
 """Token ids in sorted-string-table shards.
 
-Documents are put in ascending order of their id by a range partitioning; each partition becomes one table file:
+Documents are put in ascending order of their id by a range partitioning; each partition becomes one table file, or
+several of about FILE_BYTES:
 
     data blocks | index block | Bloom filter | footer
 
@@ -39,13 +40,14 @@ from sparkseek.llm.common import arrow_fs, fresh_path, slices, strings, written
 
 END_ID = 2
 BLOCK_BYTES = 64 << 10
+FILE_BYTES = 256 << 20  # a file is closed at the first document past them
 RESTART = 16
 BITS_PER_KEY, PROBES = 10, 7
 FOOTER = struct.Struct("<QQQQQQII8s")
 MAGIC = b"SSTIDS01"
 
-MANIFEST = "part int, path string, bytes long, n_docs long, n_ids long, first_key binary, last_key binary"
-_MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("bytes", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())])
+MANIFEST = "part int, number int, path string, bytes long, n_docs long, n_ids long, first_key binary, last_key binary"
+_MANIFEST = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("bytes", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())])
 
 
 def key_of(doc_id: int | None, tie: int, n: int) -> bytes:
@@ -88,7 +90,8 @@ class Writer:
 
         self.out, self.width, self.block_bytes, self.zstd = out, width, block_bytes, zstandard.ZstdCompressor(level=1)
         self.at = self.n_docs = self.n_ids = self.block_ids = self.held = 0
-        self.block, self.restarts, self.entries, self.index, self.heads = [], [], 0, [], []
+        self.block, self.restarts, self.entries, self.index = [], [], 0, []
+        self.heads: set[bytes] = set()  # of one file, which has about FILE_BYTES at most
         self.key = self.first = b""
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
@@ -104,7 +107,7 @@ class Writer:
         self.entries += 1
         self.first = self.first or key
         self.key = key
-        self.heads.append(key[:9])
+        self.heads.add(key[:9])
         self.n_docs += 1
         self.block_ids += len(ids)
         if self.held >= self.block_bytes:
@@ -130,7 +133,7 @@ class Writer:
         index = b"".join(_varint(len(k)) + k + _varint(a) + _varint(n) + _varint(ids) for k, a, n, ids in self.index)
         bits = max(64, BITS_PER_KEY * self.n_docs)
         bloom = np.zeros(-(-bits // 8) * 8, np.uint8)
-        for head in dict.fromkeys(self.heads):
+        for head in self.heads:
             bloom[_probes(head, bits)] = 1
         places = self._put(zlib.compress(index)) + self._put(np.packbits(bloom).tobytes())
         self._put(FOOTER.pack(*places, self.n_docs, self.n_ids, self.width, bits, MAGIC))
@@ -156,6 +159,7 @@ class Table:
             size, at = _read_varint(data, at)
             before, at = _read_varint(data, at)
             self.index.append((key, place, size, before))
+        self.last = [k[:9] for k, *_ in self.index]  # of each block
         self.bloom_at = places[2:]
         self.bloom: np.ndarray | None = None
 
@@ -205,7 +209,7 @@ class Table:
         if not self.bloom[_probes(head, self.bits)].all():
             return []
         out = []
-        for i in range(bisect.bisect_left([k[:9] for k, *_ in self.index], head), len(self.index)):
+        for i in range(bisect.bisect_left(self.last, head), len(self.index)):
             data = self.block(i)
             restarts, end = self._restarts(data)
             low, high = 0, len(restarts) - 1
@@ -223,19 +227,28 @@ class Table:
         return out
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
+def _writer(folder: str, tokenizer: str, end_id: int, file_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sparkseek.llm.bpe import Encoder
 
         encoder = out = None
-        before, n = None, 0
+        before, n, number = None, 0, 0
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "number": [number], "path": [f"{folder}/{name}"], "bytes": [out.at], "n_docs": [out.n_docs], "n_ids": [out.n_ids], "first_key": [out.first], "last_key": [out.key]}, _MANIFEST)
+
         for batch in slices(batches, "text"):
-            if out is None:
+            if encoder is None:
                 encoder = Encoder(tokenizer)
                 fs, root = arrow_fs(folder)
                 fs.create_dir(root, recursive=True)
-                name = f"{uuid.uuid4().hex}.sst"
                 width = 2 if max(encoder.n_vocab, end_id + 1) <= 1 << 16 else 4
+            if out is not None and out.at >= file_bytes:
+                yield close()
+                out, number = None, number + 1
+            if out is None:
+                name = f"{uuid.uuid4().hex}.sst"
                 out = Writer(fs.open_output_stream(f"{root}/{name}"), width)
             ids, bounds = encoder.encode(*strings(batch.column(2)))
             bounds = bounds.tolist()
@@ -244,21 +257,20 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 before = (doc_id, tie)
                 out.add(key_of(doc_id, tie, n), np.append(ids[a:b], np.uint32(end_id)))
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [f"{folder}/{name}"], "bytes": [out.at], "n_docs": [out.n_docs], "n_ids": [out.n_ids], "first_key": [out.first], "last_key": [out.key]}, _MANIFEST)
+            yield close()
 
     return write
 
 
-def write_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def write_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """The manifest of the written tables, with `start`: the number of ids in the tables before."""
     from pyspark.sql import Window
 
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    manifest = written(ordered.mapInArrow(_writer(fresh_path(spark, "sst"), tokenizer, end_id), MANIFEST), "sst-manifest")
-    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    manifest = written(ordered.mapInArrow(_writer(fresh_path(spark, "sst"), tokenizer, end_id, file_bytes), MANIFEST), "sst-manifest")
+    before = F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
     return manifest.withColumn("start", F.coalesce(before, F.lit(0)))
 
 
@@ -290,11 +302,52 @@ def read_tables(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
 
 
 def lookup(manifest: list, doc_id: int | None) -> list[np.ndarray]:
-    """The ids of the documents with this id, from the manifest's collected rows (one a file)."""
+    """The ids of the documents with this id, from the manifest's collected rows (one a file) in the order of keys, which
+    is that of part and number. An empty manifest holds no document."""
     head, out = key_of(doc_id, 0, 0)[:9], []
-    for row in manifest:
-        if bytes(row["first_key"])[:9] <= head <= bytes(row["last_key"])[:9]:
-            table = Table(row["path"], row["bytes"])
-            out += table.get(doc_id)
-            table.close()
+    at = bisect.bisect_left(manifest, head, key=lambda row: bytes(row["last_key"])[:9])
+    while at < len(manifest) and bytes(manifest[at]["first_key"])[:9] <= head:
+        table = Table(manifest[at]["path"], manifest[at]["bytes"])
+        out += table.get(doc_id)
+        table.close()
+        at += 1
     return out
+
+
+def lookup_many(manifest: list, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """doc_id and ids of every document whose id is asked for, from the manifest's rows as `lookup` takes them: an id is
+    sent to the files whose keys reach over it, and each file is opened once a task and searched. An id that no file holds
+    gives no row; so does an empty manifest."""
+    lows, highs = ([bytes(r[c])[:9] for r in manifest] for c in ("first_key", "last_key"))
+    places = [(r["path"], r["bytes"]) for r in manifest]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id in batch.column(0).to_pylist():
+                head = key_of(doc_id, 0, 0)[:9]
+                at = bisect.bisect_left(highs, head)
+                while at < len(places) and lows[at] <= head:
+                    out.append({"path": places[at][0], "bytes": places[at][1], "doc_id": doc_id})
+                    at += 1
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("doc_id", pa.int64())]))
+
+    asked = ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    found = asked.mapInArrow(find, "path string, bytes long, doc_id long").repartition("path").sortWithinPartitions("path", "doc_id")
+    return found.mapInArrow(_getter, "doc_id long, ids array<long>")
+
+
+def _getter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of files."""
+    table, now = None, None
+    for batch in batches:
+        rows = []
+        for path, size, doc_id in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "doc_id"))):
+            if path != now:
+                if table is not None:
+                    table.close()
+                table, now = Table(path, size), path
+            rows += [{"doc_id": doc_id, "ids": ids.tolist()} for ids in table.get(doc_id)]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
+    if table is not None:
+        table.close()
