@@ -91,6 +91,14 @@ def make_dir(uri: str) -> None:
     fs.create_dir(at, recursive=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 # --- Arrow access ---------------------------------------------------------------------------------------------
 
 

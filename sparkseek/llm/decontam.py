@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import WORDS_AND_MARKS, Words, accumulate, slices, strings, written
+from sparkseek.llm.common import WORDS_AND_MARKS, Words, accumulate, slices, strings, unused, written
 
 BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
@@ -262,7 +262,7 @@ def _nulls_last(item: int | None) -> tuple[bool, int]:
     return item is None, item or 0
 
 
-def _searcher(rows: list[tuple[int | None, str]], space: np.ndarray):
+def _searcher(rows: list[tuple[int | None, str]], space: np.ndarray, names: tuple[str, str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(Items(rows, space), space)
         for batch in slices(batches, "text", BATCH):
@@ -273,32 +273,31 @@ def _searcher(rows: list[tuple[int | None, str]], space: np.ndarray):
             found = search.finish()
             ids = [sorted(found.get(i, ()), key=_nulls_last) for i in range(batch.num_rows)]
             shares = [max(found[i].values()) if i in found else 0.0 for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int64())), pa.array(shares, pa.float64())], names=[*batch.schema.names, "__items", "__share"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int64())), pa.array(shares, pa.float64())], names=[*batch.schema.names, *names])
 
     return work
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs (with a column text), __items (the ids found, ascending, null last) and __share (the largest share of an
-    item's words). benchmark: item_id, text."""
+def find_items(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str] = ("__items", "__share")) -> DataFrame:
+    """The rows of docs (with a column text) and two columns of the given names: the ids found, ascending, null last, and
+    the largest share of an item's words. benchmark: item_id, text."""
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
+    found, share = names
     items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")), "benchmark")
     texts = docs.select("text").unionByName(items.select("text"))
     space = latent_space(texts)
-    schema = StructType([*docs.schema.fields]).add("__items", ArrayType(LongType())).add("__share", DoubleType())
     blocks = max(1, -(-items.count() // ITEMS))
     out = docs
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = sorted((tuple(r) for r in part.collect()), key=lambda r: (_nulls_last(r[0]), r[1]))  # about ITEMS of them
+        own = (unused(out, f"{found}_{k}"), unused(out, f"{share}_{k}")) if k else names
+        schema = StructType([*out.schema.fields]).add(own[0], ArrayType(LongType())).add(own[1], DoubleType())
+        out = out.mapInArrow(_searcher(rows, space, own), schema)
         if k:
-            out = out.withColumnsRenamed({"__items": "__items_before", "__share": "__share_before"})
-            more = StructType([*out.schema.fields]).add("__items", ArrayType(LongType())).add("__share", DoubleType())
-            out = out.mapInArrow(_searcher(rows, space), more)
-            out = out.withColumn("__items", F.array_sort(F.array_distinct(F.concat("__items_before", "__items")))).withColumn("__share", F.greatest("__share_before", "__share")).drop("__items_before", "__share_before")
-        else:
-            out = out.mapInArrow(_searcher(rows, space), schema)
+            both = F.array_sort(F.array_distinct(F.concat(F.col(f"`{found}`"), F.col(f"`{own[0]}`"))))
+            out = out.withColumns({found: both, share: F.greatest(F.col(f"`{share}`"), F.col(f"`{own[1]}`"))}).drop(*own)
     return out
 
 

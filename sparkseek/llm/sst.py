@@ -244,15 +244,15 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_bytes: int):
                 fs, root = arrow_fs(folder)
                 fs.create_dir(root, recursive=True)
                 width = 2 if max(encoder.n_vocab, end_id + 1) <= 1 << 16 else 4
-            if out is not None and out.at >= file_bytes:
-                yield close()
-                out, number = None, number + 1
-            if out is None:
-                name = f"{uuid.uuid4().hex}.sst"
-                out = Writer(fs.open_output_stream(f"{root}/{name}"), width)
             ids, bounds = encoder.encode(*strings(batch.column(2)))
             bounds = bounds.tolist()
             for doc_id, tie, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bounds[:-1], bounds[1:]):
+                if out is not None and out.at >= file_bytes:
+                    yield close()
+                    out, number = None, number + 1
+                if out is None:
+                    name = f"{uuid.uuid4().hex}.sst"
+                    out = Writer(fs.open_output_stream(f"{root}/{name}"), width)
                 n = n + 1 if (doc_id, tie) == before else 0
                 before = (doc_id, tie)
                 out.add(key_of(doc_id, tie, n), np.append(ids[a:b], np.uint32(end_id)))

@@ -67,3 +67,32 @@ def test_queries_with_sql(spark):
         columns = [d[0] for d in found.description]
         assert sorted(columns) == sorted(df.columns)
         assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, found.fetchall())), name
+
+
+CLASH = ("__items", "__share", "__quality", "__digest", "__first", "__rate", "score", "sig", "bucket", "copy", "rate", "n_copies")
+
+
+def test_stages_on_odd_tables(spark, planted, tmp_path):
+    """Null ids and texts, empty and long texts, repeated rows, names that the stages use themselves; and no rows."""
+    import corpus_pipeline as p
+
+    folder, docs = planted
+    rng = random.Random(6)
+    odd = [(*d, *("x",) * len(CLASH)) for d in docs[1:40]] + [(None, None, None, None, None, *(None,) * len(CLASH)), (2000, "", "en", None, 0, *("x",) * len(CLASH)), (2001, words(rng, 8000), "en", "s1", 1, *("x",) * len(CLASH))]
+    odd += [odd[4], odd[4], (None, words(rng, 40), "en", "s2", 1, *("y",) * len(CLASH))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
+    table = spark.createDataFrame(odd, schema)
+    empty = spark.createDataFrame([], schema)
+    for name, stage in p.STAGES:
+        out = stage(spark, table, folder)
+        rows = out.collect()
+        if name == "token_tables":
+            assert len(rows) == len(odd)
+        else:
+            assert out.columns == table.columns and rows
+            assert {tuple(r) for r in rows} <= set(map(tuple, odd))
+        if name == "near_duplicates":
+            assert len(rows) == len(odd) - 2  # the row that stands there three times
+        if name == "decontaminate":
+            assert len(rows) == len(odd)
+        assert stage(spark, empty, folder).count() == 0, name
