@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.llm import decontam, jaccard, poisson_mix, quality, sst
-from sparkseek.llm.common import written
+from sparkseek.llm.common import drop, unused, written
 from sparkseek.llm.queries import byte_bpe_path
 
 #: Near duplicates: shingles of this many words, and the similarity as a fraction.
@@ -26,35 +26,59 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts, trained on the labels of the training folds."""
+    """Documents that the classifier accepts, trained on the labels of the training folds.
+
+    Null, empty and very long texts are scored like all others; rows with a null id are never trained on; repeated rows get
+    equal scores; without labels every document has one score; an empty table gives an empty table. Other columns pass
+    through, whatever their names.
+    """
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     vectors, net = quality.fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
-    scored = quality.score(docs, vectors, net, "__quality")
-    return scored.where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
+    name = unused(docs, "__quality")
+    return quality.score(docs, vectors, net, name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates.
+
+    Texts without words are near nothing, so they all stay; of rows that repeat id and text one stays, and so do rows with
+    one id (or with none) and different texts if that id is its group's smallest; an empty table gives an empty table.
+    Other columns pass through, whatever their names; of repeated rows that differ in them only, any one stays.
+    """
     groups = jaccard.near_duplicates(docs, SHINGLE, *SIMILAR)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
-    return kept.withColumn("__digest", F.md5("text")).dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
+    first, digest = unused(docs, "__first"), unused(docs, "__digest")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(first)), "left_semi")
+    return rows.withColumn(digest, F.md5("text")).dropDuplicates(["doc_id", digest]).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontam.find_items(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.where(F.size("__items") == 0).select(*docs.columns)
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; items with a null id are searched like others; without items all documents stay;
+    repeated rows are judged alike; an empty table gives an empty table. Other columns pass through, whatever their names.
+    """
+    names = unused(docs, "__items"), unused(docs, "__share")
+    found = decontam.find_items(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"), names)
+    return found.where(F.size(names[0]) == 0).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents, every source with the same expected share, in global random order."""
-    names = tuple(f"__{x}" for x in poisson_mix.NAMES)
+    """Copies of documents, every source with the same expected share, in global random order.
+
+    A null source is a source; rows with one id are drawn alike, rows without an id by their texts; null and empty texts
+    are drawn like others; an empty table gives an empty table. Other columns pass through, whatever their names.
+    """
+    names = tuple(unused(docs, f"__{x}") for x in poisson_mix.NAMES)
     return poisson_mix.replicate(docs, seed=SEED, names=names).select(*docs.columns)
 
 
 def token_tables(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in sorted-string tables, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token ids in sorted-string tables, read back: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts have the end id alone; null ids come first; repeated rows are entries of their own; an empty table
+    gives no file and no rows. Only doc_id and text are read.
+    """
     return sst.read_tables(sst.write_tables(docs, byte_bpe_path()), with_ids=False).drop("ids")
 
 
@@ -65,7 +89,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:  # what it led to is written
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
