@@ -11,12 +11,13 @@ from sparkseek.errors import fail
 _SKIP = re.compile(r"(?:[ \t\r\n]+|--[^\n]*)*")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:(?:\[\])?\.[A-Za-z_][A-Za-z0-9_$]*)*")
 _NUMBER = re.compile(r"\d+(\.\d+)?([eE][+-]?\d+)?")
+_PLAIN = re.compile(r"'([^'\\]*)'(?!')")  # a string without escapes
 _MARK = re.compile(r"!=|>=|<=|[≠≥≤=<>(){}\[\],:;*+/.-]")
 _ESCAPES = {"\\": "\\", "'": "'", '"': '"', "n": "\n", "r": "\r", "t": "\t", "$": "$"}
 _SAME = {"≠": "!=", "≥": ">=", "≤": "<="}
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Token:
     kind: str  # name, int, float, string, mark, end
     text: str
@@ -24,6 +25,7 @@ class Token:
     start: int
     stop: int
     glued: bool = False  # whether it stands directly behind the token before
+    key: str = ""  # of a name: in capitals, as keywords are
 
 
 def _string(source: str, at: int) -> tuple[str, int] | None:
@@ -65,28 +67,34 @@ def tokenize(source: str) -> list[Token]:
     """The tokens with an end token last. Spans are character offsets; `byte_span` turns them into bytes."""
     out: list[Token] = []
     at, size = 0, len(source)
+    skip, name, number, mark, plain = _SKIP.match, _NAME.match, _NUMBER.match, _MARK.match, _PLAIN.match
     while True:
-        begin = _SKIP.match(source, at).end()
+        begin = skip(source, at).end() if at < size and source[at] in " \t\r\n-" else at
         glued, at = begin == at and bool(out), begin
         if at >= size:
             out.append(Token("end", "", None, size, size))
             return out
-        if found := _string(source, at):
-            out.append(Token("string", source[at: found[1]], found[0], at, found[1], glued))
-        elif m := _NUMBER.match(source, at):
+        c = source[at]
+        if c in "'\"`" or c == "r" and source[at + 1: at + 2] in ("'", '"'):
+            if m := plain(source, at):
+                value, end = m[1], m.end()
+            else:
+                value, end = _string(source, at)
+            out.append(Token("string", source[at:end], value, at, end, glued))
+        elif m := name(source, at):
+            out.append(Token("name", m[0], m[0], at, m.end(), glued, m[0].upper()))
+        elif m := number(source, at):
             after = source[m.end(): m.end() + 1]
             if after == "." or after.isalpha() or after == "_":
                 fail("LEX-NUMBER", f"malformed number {m[0]}{after}", (at, m.end() + 1))
             real = m[1] or m[2]
             out.append(Token("float" if real else "int", m[0], float(m[0]) if real else int(m[0]), at, m.end(), glued))
-        elif m := _NAME.match(source, at):
-            out.append(Token("name", m[0], m[0], at, m.end(), glued))
-        elif m := _MARK.match(source, at):
+        elif m := mark(source, at):
             if m[0] == "-" and source[m.end(): m.end() + 1] == "." or m[0] == "." and source[m.end(): m.end() + 1].isdigit():
                 fail("LEX-NUMBER", "a number needs a digit before its point", (at, m.end() + 1))
             out.append(Token("mark", _SAME.get(m[0], m[0]), None, at, m.end(), glued))
         else:
-            fail("LEX-CHAR", f"unexpected character {source[at]!r}", (at, at + 1))
+            fail("LEX-CHAR", f"unexpected character {c!r}", (at, at + 1))
         at = out[-1].stop
 
 

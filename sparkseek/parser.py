@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 import math
 from collections.abc import Callable
 from typing import Any
@@ -18,6 +17,7 @@ KINDS = {"DENSE": "dense", "SPARSE": "sparse", "MULTI": "multi", "MULTIVECTOR":
 STRATEGIES = ("average_vector", "best_score", "sum_scores")
 #: The clauses behind FROM, in their order.
 TAIL = ("USING", "PREFETCH", "WHERE", "SHARD", "PARAMS", "SCORE", "GROUP", "WITH PAYLOAD", "WITH VECTOR", "LIMIT", "OFFSET")
+_BY_FIRST = {first: [tuple(t.split()) for t in TAIL if t.split()[0] == first] for first in {t.split()[0] for t in TAIL}}
 COMPARISONS = ("=", "!=", ">", ">=", "<", "<=")
 
 
@@ -44,7 +44,12 @@ class Parser:
 
     def is_word(self, *words: str, at: int = 0) -> bool:
         """Whether these keywords come next."""
-        return all(self.ahead(at + i).kind == "name" and self.ahead(at + i).text.upper() == w for i, w in enumerate(words))
+        i, tokens = self.at + at, self.tokens
+        for w in words:
+            if i >= len(tokens) or tokens[i].key != w:
+                return False
+            i += 1
+        return True
 
     def word(self, *words: str) -> bool:
         if self.is_word(*words):
@@ -57,7 +62,8 @@ class Parser:
             self.error("PARSE-EXPECTED", f"expected {' '.join(words)}")
 
     def is_mark(self, mark: str) -> bool:
-        return self.now.kind == "mark" and self.now.text == mark
+        token = self.tokens[self.at]
+        return token.text == mark and token.kind == "mark"
 
     def mark(self, mark: str) -> bool:
         if self.is_mark(mark):
@@ -606,34 +612,35 @@ class Parser:
         collection = self.name() if self.word("FROM") else None
         if collection is None and top:
             self.error("VALIDATION-FROM", "a query needs FROM")
-        q = n.Query(expr, collection, ctes=ctes)
+        given: dict[str, Any] = {"expr": expr, "collection": collection, "ctes": ctes}
         last = -1
         while (clause := self.clause()) is not None:
             place = TAIL.index(clause)
             if place <= last:
                 self.error("PARSE-CLAUSE-ORDER", f"{clause} is out of order or occurs twice")
             last = place
-            q = self.tail(q, clause, ctes)
-        return check_query(q)
+            given |= self.tail(expr, clause, ctes)
+        return check_query(n.Query(**given))
 
     def clause(self) -> str | None:
-        for words in TAIL:
-            if self.is_word(*words.split()):
-                return words
+        for words in _BY_FIRST.get(self.tokens[self.at].key, ()):
+            if self.is_word(*words):
+                return " ".join(words)
         if self.is_word("WITH"):
             return self.error("PARSE-EXPECTED", "expected PAYLOAD or VECTOR")
         return None
 
-    def tail(self, q: n.Query, clause: str, ctes: tuple) -> n.Query:
-        put = lambda **x: dataclasses.replace(q, **x)
+    def tail(self, expr: Any, clause: str, ctes: tuple) -> dict[str, Any]:
+        """What a clause gives to the fields of the query."""
+        put = dict
         for _ in clause.split():
             self.step()
         if clause == "USING":
             if self.is_word("HYBRID"):
                 self.step()
-                if not isinstance(q.expr, n.Nearest) or not isinstance(q.expr.input, n.Text):
+                if not isinstance(expr, n.Nearest) or not isinstance(expr.input, n.Text):
                     self.error("VALIDATION-HYBRID", "USING HYBRID takes a text query")
-                return put(expr=n.Hybrid(q.expr.input, **self.hybrid_names()))
+                return put(expr=n.Hybrid(expr.input, **self.hybrid_names()))
             name, kind = self.name(), None
             if self.word("AS"):
                 kind = KINDS.get(self.now.text.upper()) if self.now.kind == "name" else None
