@@ -460,9 +460,23 @@ def _groups(pairs: DataFrame) -> int:
     return max(12, int(pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // GROUP_PAIRS)
 
 
-def near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_set_name(docs: DataFrame, k: int, column: str) -> DataFrame:
+    """docs (with a column text) and, in a long column, the name of each text's set (0 without words): within one doc_id
+    it tells rows apart."""
+    from pyspark.sql.types import LongType, StructType
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            names = [signature(s)[1] if len(s) else 0 for s in _sets(batch, k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=[*batch.schema.names, column])
+
+    return docs.mapInArrow(work, StructType([*docs.schema.fields]).add(column, LongType()))
+
+
+def near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", with_sets: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id: documents whose sets have den * intersection >= num * union are linked; the
-    id of a component is its smallest doc_id."""
+    id of a component is its smallest doc_id. With `with_sets` also set_name (of `with_set_name`) and component (a long
+    that names it, null without words), which tell rows with one id, or with none, apart."""
     if not 0 < num <= den or k < 1:
         raise ValueError("the threshold is in (0, 1], the shingles have words")
     spark = documents.sparkSession
@@ -507,6 +521,8 @@ def near_duplicates(documents: DataFrame, k: int, num: int, den: int, id_col: st
     named = reps.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("class", F.coalesce("component", "sig"))
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     # only classes of several members or several sets need the join back
-    of_class = written(named.join(least, "class").select("sig", "component_id"), "jaccard-classes")
+    of_class = written(named.join(least, "class").select("sig", "component_id", "class"), "jaccard-classes")
     out = members.join(of_class, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    full = F.col("n") > 0
+    more = [F.col("rest").alias("set_name"), F.when(full, F.col("class")).alias("component")] if with_sets else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)

@@ -92,7 +92,20 @@ def test_stages_on_odd_tables(spark, planted, tmp_path):
             assert out.columns == table.columns and rows
             assert {tuple(r) for r in rows} <= set(map(tuple, odd))
         if name == "near_duplicates":
-            assert len(rows) == len(odd) - 2  # the row that stands there three times
+            assert len(rows) == len(odd) - 2 and len(set(map(tuple, rows))) == len(rows)  # the row that stands there three times
         if name == "decontaminate":
             assert len(rows) == len(odd)
         assert stage(spark, empty, folder).count() == 0, name
+
+
+def test_near_duplicates_by_row(spark, planted):
+    """Rows that share an id, or have none, are documents of their own."""
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, c), (None, a), (None, b + " end"), (None, words(rng, 50)), (None, ""), (None, None), (3, ""), (4, c), (5, b), (7, None)]
+    rows.append(rows[5])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(repr, (tuple(r) for r in p.near_duplicates(spark, table, planted[0]).collect())))
+    assert got == sorted(map(repr, [(1, a), (1, b), (2, c), rows[5], (None, ""), (None, None), (3, ""), (7, None)]))
