@@ -3,8 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; every stage's result is written as
 Parquet in the shared folder and read again. All stages but the last return the columns of documents.
 
-Ids name documents: rows that repeat an id stay or go together in `near_duplicates`, and of rows that repeat id and text
-one stays.
+Ids name documents; where rows share an id, or have none, `near_duplicates` tells them apart by their texts.
 """
 
 from __future__ import annotations
@@ -39,17 +38,26 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates.
+    """One document of each group of near duplicates, that with the smallest id.
 
-    Texts without words are near nothing, so they all stay; of rows that repeat id and text one stays, and so do rows with
-    one id (or with none) and different texts if that id is its group's smallest; an empty table gives an empty table.
-    Other columns pass through, whatever their names; of repeated rows that differ in them only, any one stays.
+    Texts without words are near nothing, so all of them stay. A null id counts as larger than any other. Of rows that
+    repeat id and text one stays; rows with one id (or with none) and different texts are documents of their own, and only
+    these are told apart by their texts. An empty table gives an empty table. Other columns pass through, whatever their
+    names; of repeated rows that differ in them only, any one stays.
     """
-    groups = jaccard.near_duplicates(docs, SHINGLE, *SIMILAR)
-    first, digest = unused(docs, "__first"), unused(docs, "__digest")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(first)), "left_semi")
-    return rows.withColumn(digest, F.md5("text")).dropDuplicates(["doc_id", digest]).select(*docs.columns)
+    groups = written(jaccard.near_duplicates(docs, SHINGLE, *SIMILAR, with_sets=True), "pipeline-groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_name"))
+    chosen = groups.where("component is not null").groupBy("component").agg(least.alias("c")).select("c.doc_id", "c.set_name")
+    chosen = chosen.unionByName(groups.where("component is null").select("doc_id", "set_name").distinct())
+    rows = groups.groupBy("doc_id").agg((F.col("doc_id").isNull() | (F.count(F.lit(1)) > 1)).alias("several"))
+    chosen = written(chosen.join(rows, chosen["doc_id"].eqNullSafe(rows["doc_id"])).select(chosen["doc_id"], "set_name", "several"), "pipeline-chosen")
+    name, digest, first, of = (unused(docs, f"__{x}") for x in ("set", "digest", "first", "of"))
+    plain, several = (chosen.where(c).select(F.col("doc_id").alias(first), F.col("set_name").alias(of)) for c in ("not several", "several"))
+    out = docs.join(plain, F.col("doc_id") == F.col(first), "left_semi")
+    odd = jaccard.with_set_name(docs.join(several, F.col("doc_id").eqNullSafe(F.col(first)), "left_semi"), SHINGLE, name)
+    odd = odd.join(several, F.col("doc_id").eqNullSafe(F.col(first)) & (F.col(name) == F.col(of)), "left_semi")
+    odd = odd.withColumn(digest, F.md5("text")).dropDuplicates(["doc_id", digest])
+    return out.unionByName(odd.select(*docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
