@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from sparkseek.embed import Embedder
 from sparkseek.engine import Engine
+from sparkseek.errors import SeekError
 from sparkseek.functions.text import tokens
 from sparkseek.inject import inject_filter
 from sparkseek.parser import parse_one
 from sparkseek.semantics import BM25_AVERAGE, BM25_B, BM25_K1, DBSF_SIGMAS, EARTH_RADIUS_M, RRF_K
 from sparkseek.sources.catalog import VectorDef
+from sparkseek.sources.convert import convert_request
+from sparkseek.sources.dump import statements as dump_statements
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -211,6 +214,7 @@ _CROSS = f"""
     q AS (SELECT {sorted(set(tokens(TEXT_QUERY)))}::VARCHAR[] AS qs)
     SELECT doc_id::VARCHAR AS id, 'documents' AS collection, text, round(len(list_intersect(ws, qs)) / (1.0::DOUBLE + len(ws) + len(qs) - len(list_intersect(ws, qs))), 6) AS score
     FROM d, q ORDER BY len(list_intersect(ws, qs)) / (1.0::DOUBLE + len(ws) + len(qs) - len(list_intersect(ws, qs))) DESC, id LIMIT 10"""
+seek("cross_rerank_two", f"QUERY CROSS RERANK '{TEXT_QUERY}' MODEL 'overlap' FROM documents PREFETCH (QUERY ORDER BY n_chars FROM documents WHERE n_chars < 400 AND lang = 'en' LIMIT 60, QUERY ORDER BY n_chars FROM documents WHERE n_chars < 400 AND lang = 'en' LIMIT 40 OFFSET 30) LIMIT 10", _CROSS.replace("LIMIT 60", "LIMIT 70"))
 seek("cross_rerank", f"QUERY CROSS RERANK '{TEXT_QUERY}' MODEL 'overlap' FROM documents PREFETCH (QUERY ORDER BY n_chars FROM documents WHERE n_chars < 400 AND lang = 'en' LIMIT 60) LIMIT 10", _CROSS)
 
 
@@ -433,6 +437,133 @@ QUERIES["inject_filter_query"] = _injected
 ORACLE["inject_filter_query"] = _rrf_sql(_ids(C7, "vec_id <> 7 AND label IN (2, 4, 6)", 40), _ids(C42, "vec_id <> 42 AND label IN (2, 4, 6)", 30), RRF_K, 1, 1, "label IN (2, 4, 6)")
 
 
+# --- definitions, scripts, embeddings -------------------------------------------------------------------------
+
+
+def scripted(name: str, script: str, sql: str, embedder: Embedder | None = None) -> None:
+    """A script on a new engine, and the rows of its last statement."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        report = Engine(spark, embedder).execute(script)
+        if not report.ok:
+            raise report.results[-1].error
+        return report.results[-1].data
+
+    QUERIES[name] = run
+    ORACLE[name] = sql
+
+
+_DEFINED = """
+CREATE COLLECTION c (v VECTOR(3, COSINE), s SPARSE WITH SPARSE (modifier = 'idf')) WITH HNSW (m = 8);
+CREATE COLLECTION gone HYBRID RERANK; CREATE INDEX ON COLLECTION c FOR a TYPE keyword; CREATE INDEX ON COLLECTION c FOR b TYPE integer; DROP INDEX ON COLLECTION c FOR b;
+ALTER COLLECTION c WITH HNSW (m = 16) WITH OPTIMIZERS (indexing_threshold = 5); CREATE SHARD KEY 'one' ON COLLECTION c; CREATE SHARD KEY 'two' ON COLLECTION c; DROP SHARD KEY 'one' ON COLLECTION c; DROP COLLECTION gone;
+"""
+scripted("show_collections", _DEFINED + "SHOW COLLECTIONS", "SELECT * FROM (VALUES ('c')) t(name)")
+scripted("show_shard_keys", _DEFINED + "SHOW SHARD KEYS ON COLLECTION c", "SELECT * FROM (VALUES ('two')) t(shard_key)")
+scripted("show_collection", _DEFINED + "SHOW COLLECTION c", "SELECT * FROM (VALUES ('vector', 'v', 'dense(3, COSINE)'), ('vector', 's', 'sparse(idf=true)'), ('index', 'a', 'keyword'), ('config', 'HNSW.m', '16'), ('config', 'OPTIMIZERS.indexing_threshold', '5')) t(part, name, value)")
+_TEXTS = "{id: 1, text: 'red fox and fox'}, {id: 2, body: 'blue cat'}, {id: 3, text: 'red cat'}, {id: 4, n: 5}"
+scripted("upsert_embedded", f"UPSERT INTO made VALUES {_TEXTS}; COUNT FROM made WHERE HAS_VECTOR dense AND HAS_VECTOR sparse", "SELECT 3 AS count")
+scripted("upsert_specified", f"CREATE COLLECTION m HYBRID RERANK; UPSERT INTO m VALUES {_TEXTS.replace(', {id: 4, n: 5}', '')} USING HYBRID, MULTI INTO colbert; COUNT FROM m WHERE HAS_VECTOR dense AND HAS_VECTOR sparse AND HAS_VECTOR colbert", "SELECT 3 AS count")
+scripted("shard_scroll", "CREATE COLLECTION k (v VECTOR(1, DOT)); CREATE SHARD KEY 'a' ON COLLECTION k; UPSERT INTO k VALUES {id: 1, vector: {v: [1]}}, {id: 2, vector: {v: [2]}} SHARD 'a'; UPSERT INTO k VALUES {id: 3, vector: {v: [3]}}; QUERY VECTOR [1.0] FROM k USING v SHARD 'a' WITH PAYLOAD false LIMIT 5", "SELECT * FROM (VALUES ('1', 1.0::DOUBLE), ('2', 2.0)) t(id, score)")
+
+FAILING = {
+    "COLLECTION": "COUNT FROM nothing", "VALIDATION-VECTOR": "UPSERT INTO c VALUES {id: 1, vector: {v: [1, 2]}}", "UNKNOWN-VECTOR": "QUERY POINT 1 FROM c USING w", "VALIDATION-LIMIT-OVERFLOW": "QUERY 'a' FROM c LIMIT 18446744073709551615 OFFSET 2",
+    "EMBEDDING-SPARSE-MODEL": "QUERY TEXT 'x' MODEL 'other' FROM c USING s AS SPARSE", "VALIDATION-CONFIG": "CREATE COLLECTION d (v VECTOR(3, DOT)) WITH HNSW (m = 'x')", "SHARD": "CREATE SHARD KEY 'two' ON COLLECTION c", "INDEX": "DROP INDEX ON COLLECTION c FOR b",
+}
+
+
+def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of each statement that must fail; those that don't parse fail before any runs."""
+    e, found = Engine(spark), []
+    e.execute(_DEFINED)
+    for statement in FAILING.values():
+        try:
+            report = e.execute(statement)
+            found.append((statement, report.results[-1].error.code if report.results[-1].error else "none"))
+        except SeekError as error:
+            found.append((statement, error.code))
+    return spark.createDataFrame(found, "statement string, code string")
+
+
+QUERIES["errors"] = _failures
+ORACLE["errors"] = "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(v.replace("'", "''"), k) for k, v in FAILING.items()) + ") t(statement, code)"
+
+ROUTED = {
+    "QUERY 'a' FROM c": ("query", "POST", "/collections/c/points/query"), "QUERY 'a' FROM c GROUP BY x": ("query_groups", "POST", "/collections/c/points/query/groups"), "QUERY POINTS (1) FROM c": ("points", "POST", "/collections/c/points"), "SCROLL FROM c LIMIT 5": ("scroll", "POST", "/collections/c/points/scroll"),
+    "COUNT FROM c": ("count", "POST", "/collections/c/points/count"), "UPSERT INTO c VALUES {id: 1}": ("upsert", "PUT", "/collections/c/points"), "DELETE FROM c WHERE id = 1": ("delete", "POST", "/collections/c/points/delete"), "CLEAR PAYLOAD FROM c WHERE id = 1": ("clear_payload", "POST", "/collections/c/points/payload/clear"),
+    "UPDATE c SET PAYLOAD = {a: 1} WHERE id = 1": ("update_payload", "POST", "/collections/c/points/payload"), "DELETE PAYLOAD a FROM c WHERE id = 1": ("delete_payload", "POST", "/collections/c/points/payload/delete"), "UPDATE c SET VECTOR v = [1] WHERE id = 1": ("update_vector", "PUT", "/collections/c/points/vectors"),
+    "DELETE VECTOR v FROM c WHERE id = 1": ("delete_vector", "POST", "/collections/c/points/vectors/delete"), "CREATE COLLECTION c HYBRID": ("create_collection", "PUT", "/collections/c"), "ALTER COLLECTION c WITH HNSW (m = 4)": ("update_collection", "PATCH", "/collections/c"), "DROP COLLECTION c": ("drop_collection", "DELETE", "/collections/c"),
+    "CREATE INDEX ON COLLECTION c FOR a TYPE text": ("create_index", "PUT", "/collections/c/index"), "DROP INDEX ON COLLECTION c FOR a": ("drop_index", "DELETE", "/collections/c/index/a"), "SHOW COLLECTIONS": ("show_collections", "GET", "/collections"), "SHOW COLLECTION c": ("show_collection", "GET", "/collections/c"),
+}
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(q, c["stmt_type"], c["method"], c["path"]) for q in ROUTED for c in Engine.compile(q)]
+    return spark.createDataFrame(found, "statement string, stmt_type string, method string, path string")
+
+
+QUERIES["compiled_routes"] = _routes
+ORACLE["compiled_routes"] = "SELECT * FROM (VALUES " + ", ".join("({})".format(", ".join("'{}'".format(x.replace("'", "''")) for x in (q, *r))) for q, r in ROUTED.items()) + ") t(statement, stmt_type, method, path)"
+
+
+def _dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection as a script, run by another engine, which then answers."""
+    script = "\n".join(dump_statements(engine(spark, sf_dir).collection("halves"), 1_000_000))
+    other = Engine(spark)
+    report = other.execute(script)
+    if not report.ok:
+        raise report.results[-1].error
+    return _rounded(other.query(f"QUERY VECTOR {_NEW} FROM halves USING half WITH PAYLOAD INCLUDE (label) LIMIT 5")).withColumn("label", F.col("label").cast("long"))
+
+
+QUERIES["dump_restored"] = _dumped
+ORACLE["dump_restored"] = f"SELECT id::VARCHAR AS id, label::BIGINT AS label, score FROM ({_top(_HALF, 'vec_id % 2 = 0', 5)})"
+
+_REQUEST = {"method": "POST", "path": "/collections/embeddings/points/search", "body": {"vector": {"name": "embedding", "vector": VECTOR}, "filter": {"must": [{"key": "label", "match": {"any": [3, 5]}}], "must_not": [{"has_id": [1, 2]}]}, "limit": 10}}
+
+
+def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(engine(spark, sf_dir).query(convert_request(_REQUEST)[0]))
+
+
+QUERIES["converted_request"] = _converted
+ORACLE["converted_request"] = _top(_cos("embedding", f"{LITERAL}::DOUBLE[]"), "label IN (3, 5) AND vec_id NOT IN (1, 2)")
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages of a scroll, each from the cursor of the one before."""
+    e, found, after = engine(spark, sf_dir), [], 3
+    for number in range(3):
+        rows, after = e.page(f"SCROLL FROM part WHERE p_size < 40 AFTER {after} LIMIT 25")
+        found += [(number, r["id"]) for r in rows.select("id").collect()]
+    return spark.createDataFrame(found, "page int, id long")
+
+
+QUERIES["scroll_pages"] = _paged
+ORACLE["scroll_pages"] = "SELECT ((row_number() OVER (ORDER BY p_partkey) - 1) // 25)::INT AS page, p_partkey AS id FROM part WHERE p_size < 40 AND p_partkey >= 3 ORDER BY id LIMIT 75"
+
+
+class _Pictures(Embedder):
+    """Every image is the same vector."""
+
+    def image(self, sources, model, size):
+        return [[3.0, 5.0, 7.0, 1.0] for _ in sources]
+
+
+def _image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    numbers = F.array(*(x.cast("float") for x in (F.col("n_chars") % 7, F.col("doc_id") % 11, F.col("doc_id") % 13, F.lit(1))))
+    e = Engine(spark, _Pictures())
+    e.register("pictures", docs.withColumn("dense", numbers), "doc_id", {"dense": VectorDef(size=4)}, payload=["lang"])
+    return _rounded(e.query("QUERY IMAGE 'x.png' MODEL 'm' FROM pictures USING dense WHERE lang = 'en' LIMIT 10"))
+
+
+QUERIES["image_nearest"] = _image
+ORACLE["image_nearest"] = "SELECT id, lang, round(score, 6) AS score FROM (SELECT doc_id AS id, lang, ((n_chars % 7) * 3.0::DOUBLE + (doc_id % 11) * 5 + (doc_id % 13) * 7 + 1) / (sqrt(84.0::DOUBLE) * sqrt(pow(n_chars % 7, 2) + pow(doc_id % 11, 2) + pow(doc_id % 13, 2) + 1)) AS score FROM documents WHERE lang = 'en') ORDER BY -score, id LIMIT 10"
+
+# --- one for all ----------------------------------------------------------------------------------------------
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources fused by rank, filtered and grouped."""
     return _rounded(engine(spark, sf_dir).query(f"{TWO} QUERY FUSION RRF FROM embeddings PREFETCH (a, b) WHERE label >= 1 GROUP BY label SIZE 2 LIMIT 5"))

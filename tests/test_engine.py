@@ -119,7 +119,7 @@ def test_plans(spark):
     assert "GreaterThan(l_quantity,25)" in scan.replace(".0", "") and "l_comment" not in scan
 
 
-NAMES = ["nearest_euclid", "nearest_filtered", "multi_maxsim", "recommend_best", "discover", "fusion_dbsf", "prefetch_override", "cte_chain", "cross_rerank", "sparse_idf", "group_multivalue", "group_lookup", "formula_case", "formula_geo_distance", "filter_ne", "filter_path", "filter_geo_polygon", "upsert_then_count", "upsert_large", "upsert_after_restart", "mmr", "hybrid_rrf", "sparse_bm25", "update_vector", "inject_filter_query", "flagship"]
+NAMES = ["nearest_euclid", "nearest_filtered", "multi_maxsim", "recommend_best", "discover", "fusion_dbsf", "prefetch_override", "cte_chain", "cross_rerank", "sparse_idf", "group_multivalue", "group_lookup", "formula_case", "formula_geo_distance", "filter_ne", "filter_path", "filter_geo_polygon", "upsert_then_count", "upsert_large", "show_collections", "show_collection", "show_shard_keys", "upsert_embedded", "upsert_specified", "shard_scroll", "errors", "compiled_routes", "dump_restored", "converted_request", "scroll_pages", "image_nearest", "cross_rerank_two", "upsert_after_restart", "mmr", "hybrid_rrf", "sparse_bm25", "update_vector", "inject_filter_query", "flagship"]
 
 
 @pytest.mark.parametrize("name", NAMES)
