@@ -32,7 +32,8 @@ from sparkseek.llm.common import slices, strings
 ROW = 576
 TILE_ROWS = 16
 MAX_CODE = 10  # bits of the longest code that encode_grey writes
-SHORTEST = 6  # samples of a back-reference: its codes and extra bits take about those of five
+SHORTEST = 7  # samples of a back-reference: its codes and extra bits take about those of five
+WORTH = 24  # an image has references where they save one in so many of its samples; fewer don't pay their reading
 CACHE_BITS = 10
 STEP = 32 << 20
 
@@ -105,7 +106,12 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     """(entries symbol << 4 | length for every value of the next `bits` bits, bits); a lone symbol takes no bits."""
-    used, sizes, _ = _ordered(lengths)
+    return _table(lengths.astype(np.uint8).tobytes())
+
+
+@lru_cache(1 << 10)
+def _table(lengths: bytes) -> tuple[np.ndarray, int]:
+    used, sizes, _ = _ordered(np.frombuffer(lengths, np.uint8).astype(np.int64))
     if len(used) == 1:
         return np.array([int(used[0]) << 4], np.int32), 0
     if not len(used) or int((np.int64(1) << (15 - sizes)).sum()) != 1 << 15:
@@ -242,7 +248,14 @@ def references(samples: np.ndarray) -> list[tuple[int, int, int]]:
             out.append((i, size, d))
             i += size
             at = i
-    return out
+    return out if WORTH * sum(size - 5 for _, size, _ in out) >= n else []
+
+
+#: All images have one distance code, 5 bits for each of the first 32 symbols: the best code for an image's own distances
+#: saves less than it takes to write it.
+_AWAY = np.array([5] * 32 + [0] * 8, np.int64)
+_AWAY_CODES = canonical(_AWAY)
+_AWAY_BITS = (lambda b: (b.code(_AWAY), b.small)[1])(_Bits())
 
 
 def _grey_code(bits: _Bits, green: np.ndarray, width: int, cache_bits: int = 0, alpha: int = 255) -> None:
@@ -271,7 +284,7 @@ def _grey_code(bits: _Bits, green: np.ndarray, width: int, cache_bits: int = 0,
     sizes = _VALUES[[r[1] for r in refs]].reshape(-1, 3)
     far = _VALUES[plane_codes(width)[[r[2] for r in refs]]].reshape(-1, 3)
     counts = np.bincount(np.concatenate((symbols, 256 + sizes[:, 0])), minlength=280 + (1 << cache_bits if cache_bits else 0))
-    plain, away = code_lengths(counts, MAX_CODE), code_lengths(np.bincount(far[:, 0], minlength=40), MAX_CODE)
+    plain = code_lengths(counts, MAX_CODE)
     shades = code_lengths(np.bincount(first, minlength=256), MAX_CODE) if cache_bits else None
     bits.code(plain)
     for value in (0, 0, alpha):  # red, blue, alpha
@@ -279,7 +292,10 @@ def _grey_code(bits: _Bits, green: np.ndarray, width: int, cache_bits: int = 0,
             bits.code(shades)
         else:
             bits.puts([(1, 1), (0, 1), (1, 1), (value, 8)])
-    bits.code(away)
+    if refs:
+        bits.puts(_AWAY_BITS)
+    else:
+        bits.puts([(1, 1), (0, 1), (1, 1), (0, 8)])
 
     def coded(lengths: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return canonical(lengths)[found], np.zeros(len(found), np.int64) if np.count_nonzero(lengths) == 1 else lengths[found]
@@ -291,7 +307,7 @@ def _grey_code(bits: _Bits, green: np.ndarray, width: int, cache_bits: int = 0,
         values, widths = np.stack((values, v, v), 1).ravel(), np.stack((widths, np.where(own, w, 0), np.where(own, w, 0)), 1).ravel()
         where = where * 3
     if refs:
-        a, b = coded(plain, 256 + sizes[:, 0]), coded(away, far[:, 0])
+        a, b = coded(plain, 256 + sizes[:, 0]), (_AWAY_CODES[far[:, 0]], np.full(len(refs), 5))
         values = np.insert(values, np.repeat(where, 4), np.stack((a[0], sizes[:, 2], b[0], far[:, 2]), 1).ravel())
         widths = np.insert(widths, np.repeat(where, 4), np.stack((a[1], sizes[:, 1], b[1], far[:, 1]), 1).ravel())
     bits.many(values, widths)
@@ -305,11 +321,13 @@ SIDES = (1, 2, 3, 4, 8, 9)  # predictors that are undone a row of a block at a t
 
 def form_of(samples: np.ndarray) -> int:
     """The form an image is written in, a rule on its content: a palette where it has 16 shades at most, whose indices
-    share bytes; else subtract-green for 12 images of 16 by their checksum, and a quarter in the other forms, which are
-    seldom shorter for text, so that all of them are written and read."""
+    share bytes; else subtract-green for most by their checksum; one of 16 each is in one of the other forms, which are
+    seldom shorter for text, so that all of them are written and read. The cache, which only the scalar reader takes, has
+    one image of 64."""
     if len(np.flatnonzero(np.bincount(samples, minlength=256))) <= 16:
         return INDEXED
-    return {1: CROSSED, 2: PREDICTED, 3: CACHED, 4: INDEXED}.get(zlib.crc32(samples.tobytes()) & 15, PLAIN)
+    mark = zlib.crc32(samples.tobytes()) & 63
+    return CACHED if mark == 3 else {1: CROSSED, 2: PREDICTED, 4: INDEXED}.get(mark & 15, PLAIN)
 
 
 def _blocks(h: int, w: int, size: int) -> tuple[int, int]:
@@ -341,7 +359,7 @@ def encode_grey(samples: np.ndarray, width: int, form: int | None = None) -> byt
     if form == CROSSED:  # 32 / 32 of green off red and blue
         size = 9
         bits.puts([(1, 1), (CROSS, 2), (size - 2, 3)])
-        _image(bits, np.broadcast_to(np.array([255, 0, 32, 32], np.uint8), (*_blocks(h, width, size), 4)), 0, False, main=False)
+        bits.puts([(0, 1)] + [x for value in (32, 0, 32, 255, 0) for x in ((1, 1), (0, 1), (1, 1), (value, 8))])  # all blocks alike
     elif form == PREDICTED:
         modes, rest = _best_sides(samples.reshape(h, width))
         bits.puts([(1, 1), (PREDICTOR, 2), (BLOCK_SIZE - 2, 3)])
