@@ -54,6 +54,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     name, digest, first, of = (unused(docs, f"__{x}") for x in ("set", "digest", "first", "of"))
     plain, several = (chosen.where(c).select(F.col("doc_id").alias(first), F.col("set_name").alias(of)) for c in ("not several", "several"))
     out = docs.join(plain, F.col("doc_id") == F.col(first), "left_semi")
+    if chosen.where("several").count() <= jaccard.BROADCAST_CLASSES:  # seldom any: no second shuffle of the texts
+        several = F.broadcast(several)
     odd = jaccard.with_set_name(docs.join(several, F.col("doc_id").eqNullSafe(F.col(first)), "left_semi"), SHINGLE, name)
     odd = odd.join(several, F.col("doc_id").eqNullSafe(F.col(first)) & (F.col(name) == F.col(of)), "left_semi")
     odd = odd.withColumn(digest, F.md5("text")).dropDuplicates(["doc_id", digest])
