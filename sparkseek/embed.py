@@ -12,7 +12,8 @@ from sparkseek.nodes import Sparse
 
 
 class Embedder:
-    """Overrides are called on the driver for queries and upserts, and `rerank_pairs` on the executors."""
+    """Overrides are called on the driver for queries and upserts, and on the executors `rerank_pairs` and all that a dump's
+    folder, when it is restored, asks for."""
 
     def dense(self, texts: Sequence[str], model: str | None, size: int) -> list[list[float]]:
         return fail("EMBEDDING", "this embedder makes no dense vectors")

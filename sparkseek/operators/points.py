@@ -164,8 +164,9 @@ def _stored(catalog: Catalog, c: Collection) -> None:
         catalog.store(c, c.rows)
 
 
-def _plain(v: Any) -> Any:
-    return {k: _plain(x) for k, x in v.items()} if isinstance(v, dict) else [_plain(x) for x in v] if isinstance(v, tuple) else v
+def plain(v: Any) -> Any:
+    """A payload value as JSON has it."""
+    return {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, tuple) else v
 
 
 def _typed_payload(c: Collection, payload: dict[str, Any]) -> dict[str, Any]:
@@ -196,7 +197,7 @@ def upsert(catalog: Catalog, embedder: Embedder, u: n.Upsert) -> int:
     _stored(catalog, c)
     fields = [f for f in c.schema if f.name.startswith("__v_")]
     raw = T.StructType([c.schema["__id"], T.StructField("payload", T.StringType()), T.StructField("shard", T.StringType()), *fields])
-    rows = [(v, json.dumps({k: _plain(x) for k, x in u.points[i].payload}), u.shard, *(vectors[i].get(f.name[4:]) for f in fields)) for v, i in zip(ids, chosen)]
+    rows = [(v, json.dumps({k: plain(x) for k, x in u.points[i].payload}), u.shard, *(vectors[i].get(f.name[4:]) for f in fields)) for v, i in zip(ids, chosen)]
     new = spark.createDataFrame(rows, raw)
     if c.typed:
         typed = T.StructType([f for f in c.schema if not f.name.startswith("__")])
@@ -251,7 +252,7 @@ def change(catalog: Catalog, s: Any) -> None:
                 fail("UNKNOWN-VECTOR", f"{c.name} has no vector {name}")
         _change(catalog, c, s.where, s.shard, lambda rows, hit: _with(rows, hit, {f"__v_{k}": null(f"__v_{k}") for k in s.names}))
     elif isinstance(s, n.UpdatePayload):
-        new = {k: _plain(v) for k, v in s.payload}
+        new = {k: plain(v) for k, v in s.payload}
         if c.typed:
             _typed_payload(c, new)
             kind = T.StructType([c.schema[k] for k in new])

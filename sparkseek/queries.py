@@ -21,7 +21,8 @@ from sparkseek.parser import parse_one
 from sparkseek.semantics import BM25_AVERAGE, BM25_B, BM25_K1, DBSF_SIGMAS, EARTH_RADIUS_M, RRF_K
 from sparkseek.sources.catalog import VectorDef
 from sparkseek.sources.convert import convert_request
-from sparkseek.sources.dump import statements as dump_statements
+from sparkseek.sources.dump import dump_folder, restore
+from sparkseek.sources.files import Files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -507,12 +508,12 @@ ORACLE["compiled_routes"] = "SELECT * FROM (VALUES " + ", ".join("({})".format("
 
 
 def _dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A collection as a script, run by another engine, which then answers."""
-    script = "\n".join(dump_statements(engine(spark, sf_dir).collection("halves"), 1_000_000))
+    """A collection as a script in a folder, run by another engine, which then answers."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/dump-{uuid.uuid4().hex}"
+    dump_folder(engine(spark, sf_dir).collection("halves"), folder)
     other = Engine(spark)
-    report = other.execute(script)
-    if not report.ok:
-        raise report.results[-1].error
+    restore(other, folder)
+    Files(spark).remove(folder)
     return _rounded(other.query(f"QUERY VECTOR {_NEW} FROM halves USING half WITH PAYLOAD INCLUDE (label) LIMIT 5")).withColumn("label", F.col("label").cast("long"))
 
 

@@ -93,14 +93,7 @@ class Collection:
         return F.lit(value).cast(kind)
 
     def id_value(self, value: PointId) -> Any:
-        """The id as a value of the column __id, or None if the collection can't have it."""
-        kind = self.schema["__id"].dataType
-        number = isinstance(value, int)
-        if isinstance(kind, T.StructType):
-            return (not number, Decimal(value) if number else None, None if number else value)
-        if isinstance(kind, T.StringType) == number or number and value >= 1 << (31 if isinstance(kind, T.IntegerType) else 63):
-            return None
-        return value
+        return id_value(self.schema["__id"].dataType, value)
 
     def id_in(self, ids: tuple[PointId, ...]) -> Column:
         """Null for a null id, so that the scan can take it; `id_not_in` keeps those rows."""
@@ -120,6 +113,16 @@ class Collection:
         return TypedScope(T.StructType([f for f in self.schema if not f.name.startswith("__")]), ids=self.id_in, vectors=vectors)
 
 
+def id_value(kind: T.DataType, value: PointId) -> Any:
+    """The id as a value of a column __id of that type, or None if the collection can't have it."""
+    number = isinstance(value, int)
+    if isinstance(kind, T.StructType):
+        return (not number, Decimal(value) if number else None, None if number else value)
+    if isinstance(kind, T.StringType) == number or number and value >= 1 << (31 if isinstance(kind, T.IntegerType) else 63):
+        return None
+    return value
+
+
 def frame_of(df: DataFrame, id_column: str, vectors: dict[str, VectorDef], payload: list[str] | None = None, shard: str | None = None) -> DataFrame:
     own = {v.column or k for k, v in vectors.items() if v.encoding is None}
     source = lambda k, v: F.col(f"`{v.column or k}`")

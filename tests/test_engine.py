@@ -133,3 +133,30 @@ def test_registered_queries(spark, name):
     assert sorted(columns) == sorted(df.columns)
     plain = lambda rows: sorted(repr([round(v, 5) if isinstance(v, float) else v for v in r]) for r in rows)
     assert plain(df.select(*columns).collect()) == plain(found.fetchall())
+
+
+def test_dump_by_the_executors(engine, spark, tmp_path):
+    from sparkseek.sources.dump import dump_folder, restore
+
+    folder = str(tmp_path / "d")
+    dump_folder(engine.collection("d"), folder, 2)
+    again = Engine(spark)
+    restore(again, folder)
+    assert "\n".join(statements(again.collection("d"))) == "\n".join(statements(engine.collection("d")))
+    twice = spark.createDataFrame([(1, "a\u2028b\n", [1.0, 2.0]), (1, "a\u2028b\n", [1.0, 2.0]), (2, None, None)], "k long, x string, v array<float>")
+    other = Engine(spark)
+    other.register("t", twice, "k", {"v": VectorDef(size=2)})
+    dump_folder(other.collection("t"), str(tmp_path / "t"))
+    again = Engine(spark)
+    restore(again, str(tmp_path / "t"))
+    assert [(r["id"], r["payload"].toPython()) for r in again.query("SCROLL FROM t LIMIT 5").collect()] == [("1", {"x": "a\u2028b\n"}), ("2", {})]
+    with pytest.raises(SeekError):
+        restore(Engine(spark), str(tmp_path / "none"))
+
+
+def test_the_dump_query_keeps_the_script_off_the_driver(spark, monkeypatch):
+    from sparkseek import parser
+
+    longest, parse = [0], parser.parse
+    monkeypatch.setattr("sparkseek.engine.parse", lambda source: (longest.append(len(source)), parse(source))[1])
+    assert registered.QUERIES["dump_restored"](spark, SF).count() == 5 and max(longest) < 10_000
