@@ -42,6 +42,7 @@ ENOUGH = 0.8, 0.6  # shares that do whatever SPARE says, alone and with the answ
 ITEMS = 4000
 STEP, BATCH = 1 << 20, 16 << 20  # bytes of text whose windows, and whose candidates, are held at once
 WINDOWS = 1 << 15
+NUMBER_BITS = 18  # first bits of a word's hash by which the items' words are looked up
 MEMBERS = 512  # items that one product compares
 
 
@@ -72,6 +73,10 @@ def latent_space(texts: DataFrame, seed: int = 11) -> np.ndarray:
     random = np.random.Generator(np.random.PCG64(seed)).standard_normal((RANK, BUCKETS)).astype(np.float32)
 
     def add(matrix: np.ndarray, batch: pa.RecordBatch) -> None:
+        for part in slices(iter([batch]), "text", STEP):  # what stays in the cache
+            count(matrix, part)
+
+    def count(matrix: np.ndarray, batch: pa.RecordBatch) -> None:
         h, first = _texts(batch)
         size = np.diff(first)
         matrix[BUCKETS, RANK] += len(size)
@@ -137,12 +142,19 @@ class Items:
 
         every = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
         self.vocabulary = every
+        top = (every >> np.uint64(64 - NUMBER_BITS)).astype(np.int64)
+        self.begin = np.searchsorted(top, np.arange(1 << NUMBER_BITS))  # the first word of each beginning
+        self.most = int(np.bincount(top, minlength=1).max())
         self.numbers = [np.searchsorted(every, w) + 1 for w in self.words]
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """Words as numbers: their place among the items' words from 1, or 0."""
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == h, at + 1, 0).astype(np.int32)
+        out, at = np.zeros(len(h), np.int32), self.begin[h >> np.uint64(64 - NUMBER_BITS)]
+        for k in range(self.most):
+            place = np.minimum(at + k, len(self.vocabulary) - 1)
+            hit = np.take(self.vocabulary, place) == h
+            out[hit] = place[hit] + 1
+        return out
 
     def found(self, item: int, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each row of words (as numbers) holds the item, and the share of its words in the longest common
@@ -201,7 +213,7 @@ class Search:
     """Candidates of many texts, then their checks item by item, so that each step has many rows."""
 
     def __init__(self, items: Items, space: np.ndarray):
-        self.items, self.space = items, np.ascontiguousarray(space.T)
+        self.items, self.space = items, np.ascontiguousarray(space.T, np.float64)
         self.waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def add(self, h: np.ndarray, first: np.ndarray, base: int) -> None:
@@ -210,33 +222,41 @@ class Search:
         if not len(h) or not items.ids:
             return
         bucket, number = _bucket(h), items.number(h)
-        sums = np.zeros((len(self.space), len(h) + 1), np.float32)
-        for line, place in zip(sums, self.space):
-            line[1:] = np.cumsum(np.take(place, bucket, mode="clip"), dtype=np.float64)
+        lines = np.empty((len(self.space), len(h) + 1), np.float32)
+        lines[:, 0] = 0
+        total = np.empty(len(h))
+        for line, place in zip(lines, self.space):
+            line[1:] = np.cumsum(np.take(place, bucket, mode="clip", out=total), out=total)
+        sums = np.empty(lines.shape[::-1], np.float32)  # a row a place: what a window needs stands together
+        for c in range(0, len(sums), 512):
+            sums[c: c + 512] = lines[:, c: c + 512].T
+        del lines
         for size, members in items.classes.items():
             place, doc, span = grid(first, size)
             ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]), len(doc) - 1) if len(doc) else np.zeros(0, np.int64)
             begins = np.concatenate(([0], ends[:-1] + 1)) if len(doc) else ends
             small = ends - begins < span
             if small.any():
-                self._candidates(members, size, np.take(sums, place[ends[small]], 1) - np.take(sums, place[begins[small]], 1), place[begins[small]], place[ends[small]], doc[ends[small]], number, first, base)
+                self._candidates(members, size, np.take(sums, place[ends[small]], 0) - np.take(sums, place[begins[small]], 0), place[begins[small]], place[ends[small]], doc[ends[small]], doc[ends[small]], number, first, base)
             for c in range(0, len(place) - span, WINDOWS):
-                at = place[c: c + WINDOWS + span]
-                x = np.empty((len(sums), len(at)), np.float32)
-                for line, out in zip(sums, x):
-                    np.take(line, at, out=out, mode="clip")
-                a, b, d = at[:-span], at[span:], doc[c: c + len(at) - span]
-                v = x[:, span:] - x[:, :-span]
-                v[:, doc[c + span: c + len(at)] != d] = 0  # from one document into another
-                self._candidates(members, size, v, a, b, d, number, first, base)
-
-    def _candidates(self, members: list[int], size: int, v: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray, number: np.ndarray, first: np.ndarray, base: int) -> None:
-        """Keeps the windows (columns of v, from a to b in document d) that are near an item."""
-        v = v / np.maximum(np.sqrt(np.einsum("ij,ij->j", v, v)), np.float32(1e-9))
-        parts = [np.nonzero(self.items.vectors[members[k: k + MEMBERS]] @ v >= COSINE) for k in range(0, len(members), MEMBERS)]
-        column, row = np.concatenate([p[0] + k * MEMBERS for k, p in enumerate(parts)]), np.concatenate([p[1] for p in parts])
+                at, own = place[c: c + WINDOWS + span], doc[c: c + WINDOWS + span]
+                x = np.take(sums, at, 0, mode="clip")
+                self._candidates(members, size, x[span:] - x[:-span], at[:-span], at[span:], own[:-span], own[span:], number, first, base)
+
+    def _candidates(self, members: list[int], size: int, v: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray, last: np.ndarray, number: np.ndarray, first: np.ndarray, base: int) -> None:
+        """Keeps the windows (rows of v, from a in document d to b) that are near an item and end in the same document."""
+        least = np.float32(COSINE) * np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), np.float32(1e-9))
+        least[d != last] = np.inf  # from one document into another
+        parts = []
+        for k in range(0, len(members), MEMBERS):
+            near = v @ self.items.vectors[members[k: k + MEMBERS]].T >= least[:, None]
+            row, column = np.divmod(np.flatnonzero(near), near.shape[1])
+            parts.append((column + k, row))
+        column, row = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         if not len(row):
             return
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
         margin = size // 3 + 1
         left, right = np.maximum(a[row] - margin, first[d[row]]), np.minimum(b[row] + margin, first[d[row] + 1])
         at = left[:, None] + np.arange(size + 2 * margin + size // STRIDE)

@@ -579,3 +579,13 @@ def test_word_hashes_do_not_depend_on_neighbours():
     together = hashes(texts)
     assert together == [hashes([t])[0] for t in texts]
     assert together[0] == [together[2][1], together[4][0]] and len(together[2]) == 2
+
+
+def test_item_words_are_numbered_by_the_first_bits_of_their_hash(monkeypatch):
+    from sparkseek.llm import decontam
+
+    monkeypatch.setattr(decontam, "NUMBER_BITS", 3)  # several words with one beginning
+    items = decontam.Items([(1, " ".join(f"w{i}" for i in range(60))), (None, "x y z")], np.ones((decontam.BUCKETS, 2), np.float32))
+    h = np.concatenate((items.vocabulary, items.vocabulary + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)))
+    plain = {int(v): i + 1 for i, v in enumerate(items.vocabulary)}
+    assert items.most > 1 and items.number(h).tolist() == [plain.get(int(x), 0) for x in h]
