@@ -121,6 +121,11 @@ def _table(lengths: bytes) -> tuple[np.ndarray, int]:
     return by_first[_REVERSED[: 1 << bits] >> (15 - bits)], bits
 
 
+@lru_cache(1 << 8)
+def _lone(symbol: int) -> tuple[np.ndarray, int]:
+    return np.array([symbol << 4], np.int32), 0
+
+
 def value_code(v: int) -> tuple[int, int, int]:
     """(prefix symbol, extra bits, their value) of a length or distance code."""
     if v <= 4:
@@ -558,10 +563,18 @@ class _Reader:
             raise ValueError("the stream ends early")
         return v
 
+    def skip(self, bits: int) -> None:
+        self.at += bits
+        if self.at > self.end:
+            raise ValueError("the stream ends early")
+
     def symbol(self, code: tuple[np.ndarray, int]) -> int:
         entries, bits = code
-        e = int(entries[self.peek() & ((1 << bits) - 1)])
-        self.read(e & 15)
+        if not bits:
+            return entries.item(0) >> 4
+        at = self.at
+        e = entries.item((int.from_bytes(self.data[at >> 3: (at >> 3) + 3], "little") >> (at & 7)) & ((1 << bits) - 1))
+        self.skip(e & 15)
         return e >> 4
 
     def value(self, prefix: int) -> int:
@@ -571,17 +584,23 @@ class _Reader:
         return ((2 + (prefix & 1)) << n) + self.read(n) + 1
 
     def code(self, size: int) -> tuple[np.ndarray, int]:
-        lengths = np.zeros(size, np.int64)
-        if self.read(1):
-            two, wide = self.read(1), self.read(1)
-            one = self.read(8 if wide else 1)
-            if not two:
-                return np.array([one << 4], np.int32), 0
-            lengths[[one, self.read(8)]] = 1
+        v = self.peek()
+        if v & 1:
+            wide = 8 if v & 4 else 1
+            one = v >> 3 & ((1 << wide) - 1)
+            if not v & 2:
+                self.skip(3 + wide)
+                return _lone(one)
+            self.skip(11 + wide)
+            lengths = np.zeros(size, np.int64)
+            lengths[[one, v >> (3 + wide) & 255]] = 1
             return table(lengths)
-        inner = np.zeros(19, np.int64)
-        for s in CODE_LENGTH_ORDER[: 4 + self.read(4)]:
-            inner[s] = self.read(3)
+        lengths, inner = np.zeros(size, np.int64), np.zeros(19, np.int64)
+        order = CODE_LENGTH_ORDER[: 4 + (v >> 1 & 15)]
+        self.skip(5)
+        v = int.from_bytes(self.data[self.at >> 3: (self.at >> 3) + 8], "little") >> (self.at & 7)
+        inner[list(order)] = [v >> 3 * i & 7 for i in range(len(order))]
+        self.skip(3 * len(order))
         (entries, bits), most = table(inner), size
         if self.read(1):
             most = 2 + self.read(2 + 2 * self.read(3))
@@ -782,6 +801,12 @@ def split(media: bytes) -> list[bytes]:
 _AROUND = np.array([*DISTANCES, (0, 0)], np.int64)
 
 
+#: Of each length or distance symbol: its extra bits, their mask, and its least value.
+_EXTRA = np.array([0] * 4 + [(p - 2) >> 1 for p in range(4, 40)], np.int64)
+_EXTRA_MASK = ((np.int64(1) << _EXTRA) - 1).astype(np.uint32)
+_LEAST = np.array([1, 2, 3, 4] + [((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p in range(4, 40)], np.int64)
+
+
 def _tables(tables: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tables of `table` one after another: entries, and the mask and the first entry of each."""
     begin = np.concatenate(([0], np.cumsum([len(t[0]) for t in tables])))[:-1]
@@ -810,10 +835,7 @@ def decode_greens(decoders: list[Decoder]) -> list[np.ndarray]:
 
     def value(prefix: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values of length or distance codes, their extra bits)"""
-        n = np.maximum((prefix - 2) >> 1, 0)
-        n[prefix < 4] = 0
-        extra = bits_at(where).astype(np.int64) & ((np.int64(1) << n) - 1)
-        return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + extra + 1), n
+        return _LEAST[prefix] + (bits_at(where) & _EXTRA_MASK[prefix]), _EXTRA[prefix]
 
     while len(pos):
         code = green[0][(bits_at(bit) & mask) + entry_at]

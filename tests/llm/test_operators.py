@@ -589,3 +589,11 @@ def test_item_words_are_numbered_by_the_first_bits_of_their_hash(monkeypatch):
     h = np.concatenate((items.vocabulary, items.vocabulary + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)))
     plain = {int(v): i + 1 for i, v in enumerate(items.vocabulary)}
     assert items.most > 1 and items.number(h).tolist() == [plain.get(int(x), 0) for x in h]
+
+
+def test_symbols_of_lengths_and_distances_have_their_least_value():
+    from sparkseek.llm import webp
+
+    for v in range(1, 5000):
+        symbol, extra, value = webp.value_code(v)
+        assert (webp._EXTRA[symbol], webp._LEAST[symbol] + value) == (extra, v)
